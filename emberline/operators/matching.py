@@ -50,7 +50,7 @@ def _relevance(hits: Column, weight: Column, terms: Column, length: Column) -> C
     """
     found, missing = 1 + math.log(0.5), 1.0  # inverse document frequency with one document
     norm = 1 / F.sqrt(hits * found**2 + (terms - hits) * missing**2)
-    return (hits / terms) * weight * found**2 * norm / F.sqrt(length)
+    return (hits / terms) * weight * found**2 * norm / F.sqrt(F.greatest(length, F.lit(1)))
 
 
 def topic_scores(posts: DataFrame, topics: DataFrame, op: str = "or", keep: tuple[str, ...] | None = None) -> DataFrame:

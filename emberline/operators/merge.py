@@ -92,9 +92,10 @@ def merge_near_duplicates(feeds: DataFrame, threshold: float, pair_budget: int =
 
 def _conflict_entries(sets: DataFrame, floor: float) -> DataFrame:
     """Keys on which rows in conflict meet: prefix tokens, and the topic with the id."""
-    by_token = prefix_entries(sets, floor).select("id", "pos", "size", F.concat(F.lit("t"), "key").alias("key"))
+    by_token = prefix_entries(sets, floor).select("id", "pos", "size", "place", F.concat(F.lit("t"), "key").alias("key"))
     own = F.concat_ws(" ", F.lit("id"), F.col("id.post_id").cast("string"), F.col("id.topic"))
-    return by_token.unionByName(sets.select("id", "pos", F.lit(None).cast("int").alias("size"), own.alias("key")))
+    none = F.lit(None).cast("int")
+    return by_token.unionByName(sets.select("id", "pos", none.alias("size"), none.alias("place"), own.alias("key")))
 
 
 def _conflicts(later: DataFrame, earlier: DataFrame, sets: DataFrame, floor: float) -> DataFrame:

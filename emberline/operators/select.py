@@ -96,7 +96,7 @@ def select_posts(
 def _similarities(contested, sets, threshold, k, order, scope, group) -> DataFrame:
     """Adds ``sim`` to contested posts, as far as the choice of ``k`` per group needs it."""
     open_, done = stage(contested, "open"), None
-    for floor in (threshold, threshold / 2, threshold / 4, threshold / 8, 0.0):
+    for floor in (threshold, threshold / 2, 0.0):
         best = max_similarity(open_, sets, floor, scope)
         scored = open_.join(best, "id", "left")
         if floor == 0.0:

@@ -131,7 +131,7 @@ found_{name} AS (
   FROM {source} u, topics t),
 {name} AS (
   SELECT post_id, topic_id,
-         (hits / total) * weight * pow(1 + ln(0.5), 2) / sqrt(hits * pow(1 + ln(0.5), 2) + (total - hits)) / sqrt(size) AS score
+         (hits / total) * weight * pow(1 + ln(0.5), 2) / sqrt(hits * pow(1 + ln(0.5), 2) + (total - hits)) / sqrt(greatest(size, 1)) AS score
   FROM (SELECT *, len(freqs) AS hits, list_sum(list_transform(freqs, lambda f: sqrt(f))) AS weight FROM found_{name})
   WHERE {need})"""
 
@@ -851,22 +851,22 @@ oracle(
 )
 oracle(
     "merge_near_duplicates",
-    "SELECT arrival, feed, topic, post_id FROM feeds JOIN walk ON seq = pos WHERE passed",
+    """SELECT arrival, feed, topic, post_id FROM feeds
+       WHERE seq NOT IN (SELECT unnest(rejected) FROM (SELECT rejected FROM walk ORDER BY step DESC LIMIT 1))""",
     RECURSIVE,
-    """feeds AS (SELECT *, row_number() OVER (ORDER BY arrival, feed, topic, post_id) AS seq,
+    """feeds AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY arrival, feed, topic, post_id) AS seq,
          list_distinct(string_split(lower(regexp_replace(text, '[[:punct:]]', '', 'g')), ' ')) AS ts FROM (
          SELECT doc_id * 3 AS arrival, 'docs' AS feed, lang AS topic, doc_id AS post_id, text FROM documents
          UNION ALL SELECT conv_id * 3 + 1, 'turn' || turn, role, conv_id, text FROM conversations
          UNION ALL SELECT item_id * 3 + 2, 'items', 'en', item_id, text FROM benchmark))""",
-    "flat AS (SELECT seq, len(ts) AS size, unnest(ts) AS token FROM feeds)",
-    """near AS (SELECT a.seq, b.seq AS other FROM flat a JOIN flat b ON a.token = b.token AND b.seq < a.seq
+    "flat AS MATERIALIZED (SELECT seq, len(ts) AS size, unnest(ts) AS token FROM feeds)",
+    """near AS MATERIALIZED (SELECT a.seq, b.seq AS other FROM flat a JOIN flat b ON a.token = b.token AND b.seq < a.seq
          GROUP BY a.seq, b.seq, a.size, b.size HAVING count(*) / (a.size + b.size - count(*)) >= 0.5
          UNION SELECT a.seq, b.seq FROM feeds a JOIN feeds b ON a.topic = b.topic AND a.post_id = b.post_id AND b.seq < a.seq)""",
-    "barred AS (SELECT seq, list(other) AS others FROM near GROUP BY seq)",
+    "barred AS MATERIALIZED (SELECT seq, list(other) AS others, row_number() OVER (ORDER BY seq) AS step FROM near GROUP BY seq)",
     """walk AS (
-         SELECT CAST(0 AS BIGINT) AS pos, false AS passed, CAST([] AS BIGINT[]) AS kept
+         SELECT CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS rejected
          UNION ALL
-         SELECT f.seq, NOT list_has_any(w.kept, coalesce(b.others, [])),
-                CASE WHEN list_has_any(w.kept, coalesce(b.others, [])) THEN w.kept ELSE list_append(w.kept, f.seq) END
-         FROM walk w JOIN feeds f ON f.seq = w.pos + 1 LEFT JOIN barred b ON b.seq = f.seq)""",
+         SELECT b.step, CASE WHEN list_has_all(w.rejected, b.others) THEN w.rejected ELSE list_append(w.rejected, b.seq) END
+         FROM walk w JOIN barred b ON b.step = w.step + 1)""",
 )
