@@ -72,13 +72,22 @@ def post_tokens(style: str = "summary") -> Column:
     raise ValueError(f"unknown token style {style!r}")
 
 
+def ngrams(tokens: Column, n: int) -> Column:
+    """Runs of ``n`` consecutive tokens, joined by a space.
+
+    Shifted copies are zipped, so that ``tokens`` is evaluated per row and not per element.
+    """
+    runs = tokens
+    for k in range(2, n + 1):
+        shifted = F.slice(tokens, k, F.greatest(F.size(tokens) - (k - 1), F.lit(0)))
+        runs = F.zip_with(runs, shifted, lambda run, t: F.when(t.isNotNull(), F.concat(run, F.lit(" "), t)))
+        runs = F.filter(runs, lambda run: run.isNotNull())
+    return runs
+
+
 def with_bigrams(tokens: Column) -> Column:
     """Tokens followed by adjacent pairs joined by a space."""
-    pairs = F.transform(
-        F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))),
-        lambda t, i: F.concat_ws(" ", F.get(tokens, i), t),
-    )
-    return F.when(F.size(tokens) > 1, F.concat(tokens, pairs)).otherwise(tokens)
+    return F.concat(tokens, ngrams(tokens, 2))
 
 
 def strip_punct_tokens(text: Column) -> Column:

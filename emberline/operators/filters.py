@@ -53,7 +53,7 @@ def filter_term_length(terms: DataFrame, n: int) -> DataFrame:
 
 def filter_burst(scores: DataFrame, threshold: float) -> DataFrame:
     """Scores strictly above the threshold; an undefined score never passes."""
-    return scores.filter(F.col("score").isNotNull() & ~F.isnan("score") & (F.col("score") > threshold))
+    return scores.filter(F.nanvl("score", F.lit(float("-inf"))) > threshold)
 
 
 def track_gate(posts: DataFrame, phrases=(), box=None, mode: str = "or") -> DataFrame:

@@ -15,11 +15,23 @@ CROWD = 10  # more passing rows than this raise the threshold
 _STATE = "struct<level:int,quiet:int,seen:int,changes:array<struct<step:bigint,passing:bigint,old:int,new:int>>>"
 
 
-def _histograms(rows: DataFrame, step: str, level: Column, passes: Column) -> DataFrame:
+def level_counts(rows: DataFrame, step: str, level: Column, passes: Column) -> DataFrame:
+    """``(topic_id, step, level, n)``; rows that do not count at all have level 0."""
+    levels = rows.select("topic_id", F.col(step).alias("step"), F.when(passes, level).otherwise(0).alias("level"))
+    return levels.groupBy("topic_id", "step", "level").agg(F.count("*").alias("n"))
+
+
+def burst_levels(scores: DataFrame, base: float, modifier: float = 0.75, min_length: int = 4) -> DataFrame:
+    """Scores counted by how many of the thresholds base^(modifier^k) they exceed."""
+    steps = F.array(*[F.lit(base ** (modifier**k)) for k in range(LEVELS)])
+    level = F.size(F.filter(steps, lambda t: F.col("score") > t))
+    passes = (F.length("token") >= min_length) & F.col("score").isNotNull() & ~F.isnan("score")
+    return level_counts(scores, "win", level, passes)
+
+
+def _per_topic(counts: DataFrame) -> DataFrame:
     """``(topic_id, steps)``: per topic the ordered windows with their counts per level."""
-    counted = rows.select("topic_id", F.col(step).alias("step"), F.when(passes, level).otherwise(0).alias("level"))
-    counted = counted.groupBy("topic_id", "step", "level").agg(F.count("*").alias("n"))
-    per_step = counted.groupBy("topic_id", "step").agg(F.collect_list(F.struct("level", "n")).alias("counts"))
+    per_step = counts.groupBy("topic_id", "step").agg(F.collect_list(F.struct("level", "n")).alias("counts"))
     return per_step.groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct("step", "counts"))).alias("steps"))
 
 
@@ -57,10 +69,11 @@ def fold_threshold(
     than ten bursting terms raise the threshold to its power ``modifier``; no burst in the last
     3·``major`` windows lowers it again, never below ``base``.
     """
-    steps = F.array(*[F.lit(base ** (modifier**k)) for k in range(LEVELS)])
-    level = F.size(F.filter(steps, lambda t: F.col("score") > t))
-    passes = (F.length("token") >= min_length) & F.col("score").isNotNull() & ~F.isnan("score")
-    histograms = _histograms(scores, "win", level, passes)
+    return fold_burst_levels(burst_levels(scores, base, modifier, min_length), base, modifier, major)
+
+
+def fold_burst_levels(counts: DataFrame, base: float, modifier: float = 0.75, major: int = 30) -> DataFrame:
+    """The same changes from counts per level."""
 
     def next_level(level, passing, quiet, seen):
         up = F.least(level + 1, F.lit(LEVELS - 1))
@@ -68,7 +81,7 @@ def fold_threshold(
         return F.when(passing > CROWD, up).when(ease, level - 1).otherwise(level)
 
     value = lambda k: F.pow(F.lit(base), F.pow(F.lit(modifier), F.col(k)))
-    return _fold(histograms, next_level).select(
+    return _fold(_per_topic(counts), next_level).select(
         "topic_id",
         F.col("step").alias("win"),
         F.col("passing").alias("bursts"),
@@ -84,9 +97,9 @@ def fold_escalation(posts: DataFrame, base: float, factor: float = 10.0, step: s
     """
     steps = F.array(*[F.lit(float(base) * factor**k) for k in range(16)])
     level = F.size(F.filter(steps, lambda t: F.col("orig_repost_count") >= t))
-    histograms = _histograms(posts, step, level, F.col("orig_repost_count").isNotNull())
+    counts = level_counts(posts, step, level, F.col("orig_repost_count").isNotNull())
     value = lambda k: F.lit(float(base)) * F.pow(F.lit(float(factor)), F.col(k))
-    changes = _fold(histograms, lambda level, passing, quiet, seen: F.when(passing > CROWD, level + 1).otherwise(level))
+    changes = _fold(_per_topic(counts), lambda level, passing, quiet, seen: F.when(passing > CROWD, level + 1).otherwise(level))
     return changes.select(
         "topic_id",
         F.col("step").alias(step),

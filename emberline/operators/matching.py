@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from emberline.functions.text import STOP_WORDS, all_words, match_words, text_runs
+from emberline.functions.text import all_words, match_words, ngrams, text_runs
 from emberline.operators.sizing import BROADCAST_ROWS, broadcast_if_small
 
 INLINE_TERMS = 256  # query terms a plan may carry as literals
@@ -25,12 +25,6 @@ def query_terms(topics: DataFrame) -> DataFrame:
     return topics.select("topic_id", F.array_distinct(F.filter(parts, lambda t: F.length(t) > 0)).alias("terms"))
 
 
-def _ngrams(words: Column, n: int) -> Column:
-    """Runs of ``n`` consecutive words."""
-    starts = F.slice(words, n, F.greatest(F.size(words) - (n - 1), F.lit(0)))
-    return F.transform(starts, lambda w, i: F.concat_ws(" ", F.slice(words, i + 1, n)))
-
-
 def _with_units(posts: DataFrame, phrase_lengths: list[int]) -> DataFrame:
     """Adds what query terms are compared with (``units``) and the post's length in words."""
     tags = F.transform(F.coalesce("hashtags", F.expr("cast(array() as array<string>)")), lambda t: F.concat(F.lit("#"), F.lower(t)))
@@ -38,7 +32,7 @@ def _with_units(posts: DataFrame, phrase_lengths: list[int]) -> DataFrame:
     units = [F.col("__words"), tags]
     if phrase_lengths:
         framed = framed.withColumn("__all", all_words(F.col("text")))
-        units += [_ngrams(F.col("__all"), n) for n in phrase_lengths]
+        units += [ngrams(F.col("__all"), n) for n in phrase_lengths]
     framed = framed.withColumn("units", F.concat(*units)).withColumn("length", F.size("__words"))
     return framed.drop("__words", "__all")
 

@@ -22,15 +22,12 @@ FLAT = 1e-11  # sums of squares below this are a constant series
 
 
 def _regression(signed: bool) -> Column:
+    """slope · R² = cxy³ / (cxx² · cyy), kept short so that filters on it still compile well."""
     n = F.col("n").cast("double")
-    sum_i, sum_ii = n * (n - 1) / 2, (n - 1) * n * (2 * n - 1) / 6
-    sum_y = F.col("sum_a")
-    sum_iy = F.col("sum_ia") - F.col("sum_il")
-    sum_yy = F.col("sum_aal") + F.col("sum_ll")
-    cxx = sum_ii - sum_i * sum_i / n
-    cxy = sum_iy - sum_i * sum_y / n
-    cyy = sum_yy - sum_y * sum_y / n
-    raw = F.when((n > 1) & (cyy > FLAT), (cxy / cxx) * (cxy * cxy) / (cxx * cyy)).when(n > 1, F.lit(0.0))
+    cxx = n * (n * n - 1) / 12
+    cxy = F.col("sum_ia") - F.col("sum_il") - F.col("sum_a") * (n - 1) / 2
+    cyy = F.col("sum_aal") + F.col("sum_ll") - F.col("sum_a") * F.col("sum_a") / n
+    raw = F.when(F.col("n") < 2, None).when(cyy > FLAT, F.pow(cxy, F.lit(3.0)) / (cxx * cxx * cyy)).otherwise(0.0)
     return raw if signed else F.abs(raw)
 
 

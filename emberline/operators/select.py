@@ -22,14 +22,18 @@ def top_per_group(df: DataFrame, keys, order, k: int) -> DataFrame:
 
 def top_terms(scores: DataFrame, k: int, keys: tuple[str, ...] = ("win",)) -> DataFrame:
     """Best ``k`` terms per window; scores equal to nine places are ordered by token."""
-    defined = scores.filter(F.col("score").isNotNull() & ~F.isnan("score"))
-    return top_per_group(defined, keys, [F.round("score", 9).desc(), F.col("token")], k)
+    defined = filter_burst(scores, float("-inf"))
+    return best_terms(defined, k, keys)
+
+
+def best_terms(scores: DataFrame, k: int, keys: tuple[str, ...]) -> DataFrame:
+    return top_per_group(scores, keys, [F.round("score", 9).desc(), F.col("token")], k)
 
 
 def burst_terms(scores: DataFrame, threshold: float, min_length: int, k: int | None, keys=("win",)) -> DataFrame:
     """Bursting terms of each window: long enough, above the threshold, best ``k`` if given."""
     passing = filter_burst(scores, threshold).filter(F.length("token") >= min_length)
-    return passing if k is None else top_terms(passing, k, keys)
+    return passing if k is None else best_terms(passing, k, keys)
 
 
 def top_with_ties(scored: DataFrame, k: int, keys: tuple[str, ...] = ("topic_id",)) -> DataFrame:

@@ -870,3 +870,96 @@ oracle(
          SELECT b.step, CASE WHEN list_has_all(w.rejected, b.others) THEN w.rejected ELSE list_append(w.rejected, b.seq) END
          FROM walk w JOIN barred b ON b.step = w.step + 1)""",
 )
+
+# --- streams --------------------------------------------------------------------------------
+
+# The streaming jobs apply no language filter.
+ANY_LANG = """
+anylang AS (
+  SELECT * FROM posts
+  WHERE length(text) > 0 AND NOT contains(lower(text), 'worthless') AND len(hashtags) <= 1 AND len(urls) <= 2)"""
+PREPARED = (POSTS, ANY_LANG, TOPICS, units("anylang"), relevance(), tokens("anylang"),
+            "prepared AS (SELECT s.topic_id, tok.* FROM scored s JOIN tok USING (post_id) WHERE score > 0 AND len(summary) >= 3)")
+oracle("stream_prepare", "SELECT post_id, topic_id, len(summary) AS tokens FROM prepared", *PREPARED)
+
+
+def closed(hours: int, source: str) -> str:
+    """Last slot whose window has ended when the newest post less the delay is reached."""
+    return f"closed AS (SELECT CAST(floor(epoch(max(created_at)) / {H}) AS BIGINT) - {hours} - 1 AS last FROM {source})"
+
+
+oracle(
+    "stream_term_counts",
+    f"""SELECT topic_id, (slot + step) * {H} AS epoch_s, token, count(DISTINCT user_id) AS n
+        FROM (SELECT topic_id, slot, user_id, unnest(summary) AS token FROM prepared), (SELECT unnest([0, 1]) AS step), closed
+        WHERE slot + step <= last GROUP BY topic_id, slot + step, token""",
+    *PREPARED,
+    closed(2, "prepared"),
+)
+oracle(
+    "late_data",
+    f"""SELECT lang, (slot + step) * {H} AS epoch_s, token, count(DISTINCT user_id) AS n
+        FROM (SELECT lang, slot, user_id, unnest(base) AS token FROM tok), (SELECT unnest([0, 1]) AS step), closed
+        WHERE slot + step <= last GROUP BY lang, slot + step, token""",
+    *ALL,
+    closed(12, "posts"),
+)
+CLOSED_CELLS = (*EN, closed(2, "kept"), cells("tok", 2, name="wide"),
+                "cells AS (SELECT wide.* FROM wide, closed WHERE slot <= last)",
+                "span_cells AS (SELECT greatest(min(slot), max(slot) - 23) AS lo, max(slot) AS hi FROM cells)")
+oracle("stream_term_history", f"SELECT slot * {H} AS epoch_s, token, n FROM cells, closed WHERE slot > last - 51", *CLOSED_CELLS)
+oracle("stream_burst_scores", SCORE_ROWS, *CLOSED_CELLS, dense(emit="full"))
+oracle(
+    "repost_stream",
+    """SELECT topic_id, post_id, reposts FROM grouped JOIN sims USING (id) WHERE sim <= 0.5
+       QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY sim, created_at, post_id) <= 5""",
+    POSTS, TOPICS,
+    """popular AS (SELECT * FROM posts WHERE lang = 'en' AND is_repost AND orig_repost_count >= 20 AND length(text) > 0
+         AND NOT contains(lower(text), 'worthless') AND len(hashtags) <= 1 AND len(urls) <= 2)""",
+    units("popular"), relevance(), tokens("popular"),
+    """grouped AS (SELECT topic_id, post_id, created_at, orig_repost_count AS reposts, topic_id || ' ' || post_id AS id,
+         topic_id AS grp, (created_at, post_id) AS pos, base AS toks FROM scored JOIN tok USING (post_id)
+         QUALIFY rank() OVER (PARTITION BY topic_id ORDER BY orig_repost_count DESC) = 1)""",
+    sims("grouped"),
+)
+
+
+def select_window(delivered: str) -> tuple[str, ...]:
+    """Best posts of the last full half-day per topic, after ``delivered`` ids were delivered."""
+    return (
+        *PREPARED,
+        "half AS (SELECT *, slot // 12 AS own FROM prepared)",
+        "last_ AS (SELECT max(own) - 1 AS win FROM half)",
+        """hcells AS (SELECT topic_id, own AS slot, token, count(DISTINCT user_id) AS n FROM (
+             SELECT topic_id, own, user_id, unnest(summary) AS token FROM half, last_ WHERE own BETWEEN win - 2 AND win) GROUP BY ALL)""",
+        "htotal AS (SELECT topic_id, slot, sum(n) AS s FROM hcells GROUP BY ALL)",
+        "hseen AS (SELECT topic_id, token, count(*) OVER (PARTITION BY topic_id) AS v FROM (SELECT DISTINCT topic_id, token FROM hcells))",
+        """hseries AS (SELECT h.topic_id, h.token, i, ln((coalesce(c.n, 0) + 1) / (coalesce(t.s, 0) + v)) AS y
+             FROM hseen h, (SELECT unnest([0, 1, 2]) AS i), last_
+             LEFT JOIN hcells c ON c.topic_id = h.topic_id AND c.token = h.token AND c.slot = win - 2 + i
+             LEFT JOIN htotal t ON t.topic_id = h.topic_id AND t.slot = win - 2 + i)""",
+        """hterms AS (SELECT topic_id, token FROM (
+             SELECT topic_id, token, abs(CASE WHEN regr_syy(y, i) > 1e-11 THEN regr_slope(y, i) * regr_r2(y, i) ELSE 0 END) AS score
+             FROM hseries GROUP BY ALL) WHERE score > 0.2 AND length(token) >= 4
+             QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY round(score, 9) DESC, token) <= 100)""",
+        f"memory AS (SELECT topic_id, post_id, summary FROM half WHERE post_id IN ({delivered}))",
+        """best AS (SELECT topic_id, post_id, any_value(created_at) AS created_at, any_value(summary) AS summary, count(*) AS hits
+             FROM half JOIN last_ ON own = win JOIN hterms USING (topic_id) WHERE contains(lower(text), token) GROUP BY ALL
+             )""",
+        "most AS (SELECT * FROM best QUALIFY rank() OVER (PARTITION BY topic_id ORDER BY hits DESC) = 1)",
+        """grouped AS (
+             SELECT topic_id || ' ' || post_id AS id, topic_id AS grp, (1, created_at, post_id) AS pos, summary AS toks FROM most
+             WHERE (topic_id, post_id) NOT IN (SELECT (topic_id, post_id) FROM memory)
+             UNION ALL SELECT topic_id || ' ' || post_id, topic_id, (0, NULL, post_id), summary FROM memory)""",
+        sims("grouped"),
+    )
+
+
+for _name, _ids in (("stream_select", "SELECT doc_id FROM labels WHERE quality > 1"), ("stream_novelty_memory", "SELECT doc_id FROM labels WHERE quality = 1")):
+    oracle(
+        _name,
+        f"""SELECT m.topic_id, win, m.post_id, hits, {r6('sim')} FROM most m, last_ JOIN sims ON sims.id = m.topic_id || ' ' || m.post_id
+            WHERE sim <= 0.5 AND (m.topic_id, m.post_id) NOT IN (SELECT (topic_id, post_id) FROM memory)
+            QUALIFY row_number() OVER (PARTITION BY m.topic_id ORDER BY sim, created_at, m.post_id) <= 30""",
+        *select_window(_ids),
+    )

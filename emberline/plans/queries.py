@@ -17,6 +17,7 @@ from emberline.plans import jobs as J
 from emberline.sources import posts as IN, sinks, terms as TERMS, topics as TOPICS
 from emberline.sources.scratch import scratch_path, stage
 from emberline.sources.tables import posts_from_tables, spread_small, table
+from emberline.streaming import jobs as STREAM, prepare as PREP
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -999,3 +1000,102 @@ def run_stream(df: DataFrame) -> DataFrame:
     )
     query_.awaitTermination()
     return spark.read.schema(df.schema).parquet(path)
+
+
+def post_stream(spark, folder) -> DataFrame:
+    return IN.stream_posts(spark, "text", {"path": post_file(spark, folder)})
+
+
+@query("stream_prepare")
+def _(spark, folder):
+    rows = run_stream(PREP.stream_prepare(post_stream(spark, folder), topics(spark), CONF))
+    return rows.select("post_id", "topic_id", F.size("tokens").cast("bigint").alias("tokens"))
+
+
+@query("stream_term_counts")
+def _(spark, folder):
+    """Counts of the slots the watermark has passed."""
+    prepared = PREP.stream_prepare(post_stream(spark, folder), topics(spark), CONF)
+    return run_stream(PREP.stream_counts(prepared, CONF, "2 hours")).select("topic_id", epoch("slot"), "token", "n")
+
+
+@query("late_data")
+def _(spark, folder):
+    """Counts per language with a longer allowance for late posts."""
+    rows = P.filter_valid(post_stream(spark, folder)).withColumn("tokens", X.post_tokens("plain"))
+    return run_stream(PREP.stream_counts(rows, CONF, "12 hours", keys=("lang",))).select("lang", epoch("slot"), "token", "n")
+
+
+def history_folder(spark, folder) -> str:
+    """Runs the counting query over all posts; closed slots end up in the term history."""
+    memory = scratch_path(spark, "history")
+    kept_stream = P.summary_filters(post_stream(spark, folder), CONF).withColumn("tokens", X.post_tokens("summary"))
+    counts = PREP.stream_counts(kept_stream, CONF, "2 hours", keys=())
+    run = STREAM.start(counts, STREAM.append_counts(memory), f"{memory}/checkpoint", {"availableNow": True})
+    run.awaitTermination()
+    return memory
+
+
+@query("stream_term_history")
+def _(spark, folder):
+    return count_rows(STREAM.term_history(spark, history_folder(spark, folder), 51, keys=()))
+
+
+@query("stream_burst_scores")
+def _(spark, folder):
+    history = STREAM.term_history(spark, history_folder(spark, folder), 51, keys=())
+    return score_rows(STREAM.score_closed(history, 24, keys=()))
+
+
+STREAM_CONF = CONF.with_(width=12 * HOUR, minor=1, major=3, burst_threshold=0.2, per_window_max=30)
+
+
+def burst_folder(spark, folder) -> str:
+    memory = scratch_path(spark, "burst")
+    STREAM.burst_stream(post_stream(spark, folder), topics(spark), STREAM_CONF, memory, trigger={"availableNow": True}).awaitTermination()
+    return memory
+
+
+@query("burst_stream")
+def _(spark, folder):
+    delivered, _ = STREAM.burst_results(spark, burst_folder(spark, folder))
+    return scored(delivered.select("topic_id", "win", "post_id", "hits", "sim"), "sim")
+
+
+@query("repost_stream")
+def _(spark, folder):
+    memory = scratch_path(spark, "reposts")
+    STREAM.repost_stream(post_stream(spark, folder), topics(spark), CONF, memory, {"availableNow": True}).awaitTermination()
+    return STREAM.Memory(spark, memory).read("delivered", STREAM.DELIVERED).select("topic_id", "post_id", F.col("hits").alias("reposts"))
+
+
+def window_terms(spark, folder) -> tuple[DataFrame, DataFrame, int]:
+    """Posts per topic, and terms of the window that ends with the last full slot."""
+    matched = stage(PREP.stream_prepare(posts(spark, folder), topics(spark), STREAM_CONF), "prepared")
+    rows = matched.withColumn("own", TS.slot_of(F.col("created_at"), STREAM_CONF.width))
+    counts = stage(C.term_counts(rows.withColumn("slot", F.col("own")), keys=("topic_id",)), "counts")
+    lo, hi = W.slot_range(counts)
+    win = hi - 1
+    inside = counts.filter(F.col("slot").between(win - 2, win))
+    scores = S.burst_scores(inside, win - 2, win, 3, "full", keys=("topic_id",), key_rows=len(TOPIC_ROWS))
+    terms = stage(L.burst_terms(scores, STREAM_CONF.burst_threshold, 4, 100, ("topic_id", "win")), "terms")
+    return rows, terms, win
+
+
+def select_window(spark, folder, delivered: DataFrame) -> DataFrame:
+    rows, terms, win = window_terms(spark, folder)
+    seen = rows.join(delivered, "post_id").select("topic_id", (F.lit(win) - 1).alias("win"), "post_id", "text", "tokens")
+    chosen = STREAM.select_closed(rows.filter(F.col("own") == win), terms, stage(seen, "delivered"), win, STREAM_CONF)
+    return scored(chosen.select("topic_id", "win", "post_id", "hits", "sim"), "sim")
+
+
+@query("stream_select")
+def _(spark, folder):
+    """One closed window, nothing delivered before."""
+    return select_window(spark, folder, labels_where(spark, folder, "quality > 1"))
+
+
+@query("stream_novelty_memory")
+def _(spark, folder):
+    """The same window after the labelled posts were delivered."""
+    return select_window(spark, folder, labels_where(spark, folder, "quality = 1"))
