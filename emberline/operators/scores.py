@@ -175,13 +175,32 @@ def window_stats(scores: DataFrame) -> DataFrame:
 
 
 def score_distribution(terms: DataFrame) -> DataFrame:
-    """Minimum, median, mean and maximum over all scores of a term file.
-
-    The exact median comes from counts per distinct score, so no task holds every score.
+    """Minimum, median, mean and maximum over all scores of a term file."""
+    terms = terms.select(F.col("score"))
+    facts = terms.agg(F.count("score").alias("n"), F.min("score").alias("min"), F.avg("score").alias("mean"), F.max("score").alias("max"))
+    n = facts.first().n
+    median = None
+    if n:
+        middle = {(n - 1) // 2, n // 2}
+        median = sum(value_at(terms, "score", rank) for rank in middle) / len(middle)
+    return facts.select("min", F.lit(median).cast("double").alias("median"), "mean", "max")
+
+
+def value_at(df: DataFrame, column: str, rank: int, buckets: int = 1024) -> float:
+    """The value with ``rank`` smaller-or-equal values before it in order, exactly.
+
+    Narrows down from bucket to bucket of a histogram: every pass is one distributed count and
+    brings at most ``buckets`` rows to the driver, so nothing is sorted or held as a whole.
     """
-    return terms.agg(
-        F.min("score").alias("min"),
-        F.expr("percentile(score, 0.5)").alias("median"),
-        F.avg("score").alias("mean"),
-        F.max("score").alias("max"),
-    )
+    value = F.col(column)
+    rows = df.filter(value.isNotNull())
+    low, high = rows.agg(F.min(value), F.max(value)).first()
+    while low < high:
+        place = F.least(F.floor((value - low) / ((high - low) / buckets)), F.lit(buckets - 1))
+        inside = rows.filter(value.between(low, high)).groupBy(place.alias("b"))
+        for bucket in sorted(inside.agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).collect()):
+            if rank < bucket.n:
+                low, high = bucket.low, bucket.high
+                break
+            rank -= bucket.n
+    return low

@@ -383,10 +383,8 @@ oracle(
 )
 oracle(
     "jaccard",
-    """SELECT post_id, round(len(list_intersect(ts, before)) / len(list_distinct(list_concat(ts, before))), 6) + 0.0 AS sim
-       FROM (SELECT post_id, list_distinct(summary) AS ts,
-                    lag(list_distinct(summary)) OVER (PARTITION BY user_id ORDER BY created_at, post_id) AS before FROM tok)
-       WHERE before IS NOT NULL""",
+    """SELECT a.post_id, round(len(list_intersect(a.summary, b.summary)) / len(list_distinct(list_concat(a.summary, b.summary))), 6) + 0.0 AS sim
+       FROM tok a JOIN tok b ON b.post_id = a.post_id - 1""",
     *ALL,
 )
 oracle(
@@ -547,6 +545,7 @@ WINDOW_ROW = f"win * {H} AS epoch_s, greatest(win - 23, lo) * {H} AS first_s, wi
 oracle("major_windows", f"SELECT {WINDOW_ROW} FROM spine WHERE win >= least(lo + 23, hi)", POSTS, SPAN)
 oracle("growing_windows", f"SELECT {WINDOW_ROW}, win - lo >= 24 AS reported FROM spine", POSTS, SPAN)
 oracle("burst_score", SCORE_ROWS, *EN_FULL)
+oracle("user_scorer", f"SELECT win * {H} AS epoch_s, token, {r6('lead', 'score')} FROM scores", *EN_FULL)
 oracle("average_score", f"SELECT win * {H} AS epoch_s, token, {r6('lead', 'score')} FROM scores", *EN_FULL)
 oracle(
     "burst_score_undated",
@@ -896,6 +895,7 @@ oracle(
     *PREPARED,
     closed(2, "prepared"),
 )
+ORACLES["stream_checkpoint"] = ORACLES["stream_term_counts"]
 oracle(
     "late_data",
     f"""SELECT lang, (slot + step) * {H} AS epoch_s, token, count(DISTINCT user_id) AS n

@@ -418,12 +418,11 @@ def _(spark, folder):
 
 @query("jaccard")
 def _(spark, folder):
-    """Each post against the previous post of its user."""
-    order = F.struct("created_at", "post_id")
-    rows = tokenised(spark, folder).select("user_id", order.alias("at"), "post_id", F.array_distinct("tokens").alias("tokens"))
-    window = L.Window.partitionBy("user_id").orderBy("at")
-    pairs = rows.withColumn("before", F.lag("tokens").over(window)).filter("before is not null")
-    return pairs.select("post_id", r6(similarity.jaccard(F.col("tokens"), F.col("before"))).alias("sim"))
+    """Each post against the post numbered before it."""
+    rows = tokenised(spark, folder).select("post_id", F.array_distinct("tokens").alias("tokens"))
+    before = rows.select((F.col("post_id") + 1).alias("post_id"), F.col("tokens").alias("before"))
+    sim = similarity.jaccard(F.col("tokens"), F.col("before"))
+    return rows.join(before, "post_id").select("post_id", r6(sim).alias("sim"))
 
 
 @query("burst_hits")
@@ -667,6 +666,13 @@ def _(spark, folder):
     return score_rows(en_scores(spark, folder, "full", "average"))
 
 
+@query("user_scorer")
+def _(spark, folder):
+    """A Python scorer over dense count series: last value less the mean."""
+    cells, lo, hi = en_counts(spark, folder)
+    return score_rows(S.score_series(cells, lo, hi, CONF.major, lambda series: series[:, -1] - series.mean(axis=1)))
+
+
 @query("minmax_normalise")
 def _(spark, folder):
     return score_rows(S.minmax_normalise(en_scores(spark, folder)))
@@ -1019,6 +1025,22 @@ def _(spark, folder):
     return run_stream(PREP.stream_counts(prepared, CONF, "2 hours")).select("topic_id", epoch("slot"), "token", "n")
 
 
+@query("stream_checkpoint")
+def _(spark, folder):
+    """The same counts by a query that stops halfway and is started again from its checkpoint."""
+    source, target, state = (scratch_path(spark, n) for n in ("posts-json", "stream", "stream-state"))
+    rows = posts(spark, folder)
+    half = F.timestamp_seconds(rows.agg(F.avg(F.unix_seconds("created_at"))).scalar())
+    counts = None
+    for part in (rows.filter(F.col("created_at") < half), rows.filter(F.col("created_at") >= half)):
+        IN.post_lines(part).write.mode("append").text(source)
+        prepared = PREP.stream_prepare(IN.stream_posts(spark, "text", {"path": source}), topics(spark), CONF)
+        counts = PREP.stream_counts(prepared, CONF, "2 hours")
+        writer = counts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state)
+        writer.option("path", target).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(target).select("topic_id", epoch("slot"), "token", "n")
+
+
 @query("late_data")
 def _(spark, folder):
     """Counts per language with a longer allowance for late posts."""
