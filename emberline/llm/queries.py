@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import mixing, quality
+from emberline.llm import mixing, quality, tokens
 from emberline.sources.tables import table
 
 
@@ -18,8 +18,12 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_digest(table(spark, folder, "documents"))
 
 
+def op9_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.tokenize_digest(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_mixing, op6_quality)
+    f.__name__: f for f in (op3_mixing, op6_quality, op9_tokens)
 }
 
 ORACLES: dict[str, str] = {}
