@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import mixing, quality, tokens
+from emberline.llm import decontaminate, mixing, quality, tokens
 from emberline.sources.tables import table
 
 
@@ -22,8 +22,12 @@ def op9_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.tokenize_digest(table(spark, folder, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination_digest(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_mixing, op6_quality, op9_tokens)
+    f.__name__: f for f in (op3_mixing, op6_quality, op9_tokens, op10_decontamination)
 }
 
 ORACLES: dict[str, str] = {}
