@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import decontaminate, mixing, quality, tokens
+from emberline.llm import decontaminate, mixing, quality, simhash, tokens
 from emberline.sources.tables import table
 
 
@@ -26,8 +26,12 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination_digest(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates_digest(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_mixing, op6_quality, op9_tokens, op10_decontamination)
+    f.__name__: f for f in (op3_mixing, op4_simhash, op6_quality, op9_tokens, op10_decontamination)
 }
 
 ORACLES: dict[str, str] = {}
