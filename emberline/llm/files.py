@@ -7,6 +7,7 @@ attempt of a task leaves one whole file.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
 
 def _filesystem(uri: str):
@@ -17,7 +18,7 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_file(uri: str, *parts: bytes) -> None:
+def write_file(uri: str, parts: Iterable[bytes]) -> None:
     """Write the parts one after another as one file; its folder is made if missing."""
     system, path = _filesystem(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
@@ -32,3 +33,14 @@ def read_file(uri: str) -> bytes:
     system, path = _filesystem(uri)
     with system.open_input_file(path) as file:
         return file.read()
+
+
+def open_range(uri: str, start: int = 0, end: int | None = None, chunk: int = 1 << 18) -> Iterator[bytes]:
+    """The bytes between two offsets, in chunks."""
+    system, path = _filesystem(uri)
+    with system.open_input_file(path) as file:
+        file.seek(start)
+        left = (file.size() if end is None else end) - start
+        while left > 0 and (data := file.read(min(chunk, left))):
+            yield data
+            left -= len(data)

@@ -178,7 +178,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
     spark = docs.sparkSession
     codes = stage(encoded(docs, tokenizer, end_id), "token-ids")
     by_rank = frequency_ranks(codes)
-    write_file(f"{folder}/ranks.bin", by_rank.tobytes())
+    write_file(f"{folder}/ranks.bin", [by_rank.tobytes()])
     rank_of = np.zeros(1 << 16, "<u4")
     rank_of[by_rank] = np.arange(len(by_rank))
 
@@ -201,7 +201,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
             counts = np.array([h[1] for h in held], "<i8")
             head = struct.pack("<QQQ", len(held), int(counts.sum()), sum(len(h[2]) for h in held))
             path = f"{folder}/part-{part:05d}-{file:05d}.tok"
-            write_file(path, MAGIC, head, ids.tobytes(), counts.tobytes(), *[h[2] for h in held], *[h[3] for h in held])
+            write_file(path, [MAGIC, head, ids.tobytes(), counts.tobytes(), *[h[2] for h in held], *[h[3] for h in held]])
             rows.append((part, file, path, len(held), int(counts.sum())))
 
         for batch in batches:
