@@ -6,6 +6,7 @@ attempt of a task leaves one whole file.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -44,3 +45,19 @@ def open_range(uri: str, start: int = 0, end: int | None = None, chunk: int = 1
         while left > 0 and (data := file.read(min(chunk, left))):
             yield data
             left -= len(data)
+
+
+def mapped(uri: str):
+    """The file as a memory-mapped array of bytes; files that aren't on a mounted disk are fetched once per worker."""
+    import tempfile
+
+    import numpy as np
+
+    system, path = _filesystem(uri)
+    if system.type_name != "local":
+        with tempfile.NamedTemporaryFile(delete=False) as copy:
+            copy.writelines(open_range(uri))
+        path = copy.name
+    if not os.path.getsize(path):
+        return np.zeros(0, np.uint8)
+    return np.memmap(path, np.uint8, "r")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import decontaminate, mixing, quality, simhash, tokens, toxicity, warc
+from emberline.llm import decontaminate, lm, mixing, quality, simhash, tokens, toxicity, warc
 from emberline.sources.tables import table
 
 
@@ -38,8 +38,12 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op5_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_digest(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_mixing, op4_simhash, op6_quality, op7_warc, op8_toxicity, op9_tokens, op10_decontamination)
+    f.__name__: f for f in (op3_mixing, op4_simhash, op5_language_model, op6_quality, op7_warc, op8_toxicity, op9_tokens, op10_decontamination)
 }
 
 ORACLES: dict[str, str] = {}

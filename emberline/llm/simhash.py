@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from emberline.llm.components import components
+from emberline.llm.wordhash import bounded
 from emberline.sources.scratch import stage
 
 DENSE = 8192
@@ -80,8 +81,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 100):
-                part = batch.slice(low, 100)
+            for part in bounded(batch):
                 fp = pa.array(_fingerprints(part.column("text").to_pylist(), width), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), fp], ["doc_id", "text_key", "fp"])
 

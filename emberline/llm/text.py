@@ -20,3 +20,8 @@ def let(value: Column, body) -> Column:
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def held_out(doc_id: Column, folds: int) -> Column:
+    """Whether crc32 of the id as text, modulo ``folds``, is 0; a null id counts as the text "null"."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % folds == 0

@@ -27,9 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from emberline.llm.wordhash import Powers, Words
+from emberline.llm.text import held_out
+from emberline.llm.wordhash import Powers, Words, bounded
 from emberline.sources.scratch import stage
 
 MAX_POSITIVE = 6_000
@@ -45,11 +46,6 @@ LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
 BEGINNINGS = (4, 5, 6)
 
 
-def held_out(doc_id: Column, folds: int = 5) -> Column:
-    """Whether crc32 of the id as text, modulo ``folds``, is 0; a null id counts as the text "null"."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % folds == 0
-
-
 def features(texts: list[str | None], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     """(text number, feature) of the distinct hashed features: words and their first 4, 5 and 6 bytes."""
     words = Words(texts, LETTERS, powers)
@@ -182,8 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            for part in bounded(batch):
                 owner, slot = features(part.column("text").to_pylist(), powers)
                 bounds = np.searchsorted(owner, np.arange(part.num_rows + 1))
                 found = [slot[a:b].astype("<i4").tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
@@ -208,8 +203,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            for part in bounded(batch):
                 value = model.scores(part.num_rows, *features(part.column("text").to_pylist(), powers))
                 names = [*part.schema.names, "score"]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value, pa.float64())], names)

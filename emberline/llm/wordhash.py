@@ -45,6 +45,43 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
+def bounded(batch, column: str = "text", chars: int = 2 << 20):
+    """Slices of an Arrow batch whose texts add up to about ``chars`` bytes, one row at least."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, low = np.cumsum(sizes, dtype=np.int64), 0
+    while low < batch.num_rows:
+        before = int(ends[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + chars, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
+def worker_memory(name: tuple, make):
+    """What ``make`` returns, kept in this worker process from one task to the next."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_emberline_worker_memory", types.ModuleType("_emberline_worker_memory")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
+def prefix_sums(data: np.ndarray, powers: Powers) -> np.ndarray:
+    up, _ = powers.upto(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[data] * up[:-1], out=sums[1:])
+    return sums
+
+
+def stretch_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
+    """64-bit hashes of stretches of the bytes that ``sums`` was made from."""
+    _, down = powers.upto(len(sums))
+    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 class Words:
     """The words of a list of texts: ``hashes`` and ``starts``/``ends`` in ``data``, in order of place.
 
@@ -61,12 +98,9 @@ class Words:
         sizes = np.array([len(r) + 1 for r in raw], np.int64)
         begins = np.concatenate([[0], np.cumsum(sizes)])
         self.first = np.searchsorted(self.starts, begins)
-        up, self._down = powers.upto(len(self.data) + 1)
-        self._sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_VALUES[self.data] * up[:-1], out=self._sums[1:])
+        self._powers, self._sums = powers, prefix_sums(self.data, powers)
         self.hashes = self.hash_of(self.starts, self.ends)
 
     def hash_of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of any stretches of the lower-cased bytes."""
-        spread = (self._sums[ends] - self._sums[starts]) * self._down[starts]
-        return mixed(spread + (ends - starts).astype(np.uint64))
+        return stretch_hashes(self._sums, starts, ends, self._powers)
