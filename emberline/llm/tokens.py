@@ -24,24 +24,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from emberline.llm.files import read_file, write_file
+from emberline.llm.wordhash import Powers, bounded, prefix_sums, stretch_hashes, worker_memory
 from emberline.sources.scratch import scratch_path, stage
 
 MAGIC = b"EMBTOK1\0"
-FILE_BYTES = 48 << 20
-CACHED_WORDS = 1 << 20
+FILE_BYTES = 16 << 20
+CACHED_WORDS = 1 << 21
 NO_ID = -(1 << 63)
 
 # The bytes that each of the four ranks of a control byte takes.
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
-_TANGLED = re.compile(r"\s (?=\s|\Z)")
-_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
+_OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+\\Z")
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
+
+
+def pieces(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Places where the bytes of several texts may be cut without changing their ids.
+
+    The tokenizer's pattern always begins a new piece before white space that follows something else,
+    behind a single line end, and at a point or comma behind a letter. Texts start at ``begins``.
+    """
+    space = _SPACE[data]
+    cut = np.zeros(len(data), bool)
+    cut[1:] = space[1:] & ~space[:-1]
+    cut[2:] |= ~space[2:] & (data[1:-1] == 10) & ~space[:-2]
+    letter = _ASCII_LETTER[data]
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    cut[1:] |= ((data[1:] == 0x2E) | (data[1:] == 0x2C)) & letter[:-1]
+    cut[begins] = True
+    return np.flatnonzero(cut)
 
 
 class WordEncoder:
-    """Encodes texts word by word with a bounded memory of words seen before.
+    """Encodes texts piece by piece; the ids of pieces seen before are found by a 64-bit hash.
 
-    The tokenizer's pattern always begins a new piece at a blank that has no white space before it or
-    none behind it, so such a text is the sequence of its words' ids. Other texts are encoded whole.
+    The memory is a sorted array of hashes with the pieces' ids in one pool, emptied when it holds
+    ``CACHED_WORDS``. Texts with white space outside ASCII are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -49,104 +72,127 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.end = struct.pack("<H", end_id)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits are not supported")
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(1 << 16, bool)  # ids of tokens that begin with a blank
+        self.opens[[number for token, number in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.end, self.powers = end_id, Powers()
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, "<u2")
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u2") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        """Adds pieces that aren't known; keys are ascending."""
+        if len(self.keys) + len(keys) > CACHED_WORDS:
+            self.forget()
+        word = np.array([_WORD.match(t) is not None for t in texts], bool)
+        codes: list[np.ndarray] = [np.zeros(0, "<u2")] * len(texts)
+        words = np.flatnonzero(word)
+        if len(words):  # each is one piece and begins with the only blank in it, also when they are joined
+            ids = np.array(self.tokenizer.encode("".join([texts[i] for i in words]), add_special_tokens=False).ids, dtype="<u2")
+            for i, code in zip(words.tolist(), np.split(ids, np.flatnonzero(self.opens[ids])[1:])):
+                codes[i] = code
+        rest = np.flatnonzero(~word).tolist()
+        for i, code in zip(rest, self._whole([texts[i] for i in rest]) if rest else []):
+            codes[i] = code
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes))
+        starts = len(self.pool) + np.cumsum(sizes) - sizes
+        self.pool = np.concatenate([self.pool, *codes])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.starts, self.sizes = (
+            np.insert(old, at, new) for old, new in ((self.keys, keys), (self.starts, starts), (self.sizes, sizes))
+        )
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in found]
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self.known.clear()
-        mark, rest = {}, []
-        for word in words:  # a mark behind letters is a piece of its own
-            if word[-1:] in ".," and word[-2:-1].isalpha():
-                mark.setdefault(word[:-1], []).append(word[-1])
-            else:
-                mark.setdefault(word, []).append("")
-        plain = [w for w in mark if _LETTERS.match(w)]
-        rest = [w for w in mark if not _LETTERS.match(w)]
-        codes = dict(zip(rest, self._whole([" " + w for w in rest])))
-        if plain:
-            encoded = self.tokenizer.encode(" " + " ".join(plain), add_special_tokens=False)
-            ids = np.array(encoded.ids, dtype="<u2")
-            word_of = np.array(encoded.word_ids, dtype=np.int64)
-            ends = np.flatnonzero(np.diff(word_of, append=-1)) + 1
-            start = 0
-            for word, end in zip(plain, ends.tolist()):
-                codes[word] = ids[start:end].tobytes()
-                start = end
-        marks = dict(zip((".", ","), self._whole([".", ","]))) | {"": b""}
-        for word, endings in mark.items():
-            for ending in endings:
-                self.known[word + ending] = codes[word] + marks[ending]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text with the end id."""
-        out: list[bytes | None] = [None] * len(texts)
-        for low in range(0, len(texts), 500):
-            open_, unknown = [], set()
-            for at in range(low, min(low + 500, len(texts))):
-                text = texts[at]
-                if not text:
-                    out[at] = self.end
-                elif _TANGLED.search(text):
-                    out[at] = self._whole([text])[0] + self.end
-                else:
-                    first, *words = text.split(" ")
-                    codes = list(map(self.known.get, words))
-                    if None in codes:
-                        unknown.update(w for w, c in zip(words, codes) if c is None)
-                        open_.append((at, first, words))
-                    else:
-                        out[at] = self._first(first) + b"".join(codes) + self.end
-            if unknown:
-                held = self.known
-                self._learn(unknown)
-                if any(w not in self.known for _, _, words in open_ for w in words):  # the memory was emptied
-                    self._learn({w for _, _, words in open_ for w in words} - self.known.keys())
-                del held
-                for at, first, words in open_:
-                    out[at] = self._first(first) + b"".join(map(self.known.__getitem__, words)) + self.end
-        return out
-
-    def _first(self, word: str) -> bytes:
-        return self._whole([word])[0] if word else b""
-
-
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of ranks below 2**32."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts with their end ids, number of ids per text)."""
+        odd = [i for i, t in enumerate(texts) if not t.isascii() and _OTHER_SPACE.search(t)]
+        by_text = dict(zip(odd, self._whole([texts[i] for i in odd]))) if odd else {}
+        raw = [b"" if i in by_text else t.encode() for i, t in enumerate(texts)]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1  # a line end behind each keeps texts apart
+        begins = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"\n".join(raw) + b"\n\n", np.uint8)
+        cuts = pieces(data, begins)
+        owner = np.searchsorted(begins, cuts, side="right") - 1
+        ends = np.minimum(np.append(cuts[1:], len(data)), (begins + sizes - 1)[owner])
+        filled = ends > cuts
+        cuts, ends, owner = cuts[filled], ends[filled], owner[filled]
+        hashes = stretch_hashes(prefix_sums(data, self.powers), cuts, ends, self.powers)
+        keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        for _ in range(2):  # a second time if the memory was emptied
+            at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+            known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+            new = np.flatnonzero(~known)
+            if not len(new):
+                break
+            buffer = data.tobytes()
+            self._learn(keys[new], [buffer[a:b].decode() for a, b in zip(cuts[first[new]].tolist(), ends[first[new]].tolist())])
+        else:
+            at = np.searchsorted(self.keys, keys)
+        size, start = self.sizes[at][back], self.starts[at][back]
+        offset = np.cumsum(size) - size
+        ids = self.pool[np.arange(int(size.sum())) + np.repeat(start - offset, size)]
+        counts = np.bincount(owner, weights=size, minlength=len(texts)).astype(np.int64)
+        edges = np.cumsum(counts)
+        where, what = list(edges), [np.uint16(self.end)] * len(texts)
+        if by_text:
+            parts = np.split(ids, edges[:-1])
+            parts = [np.append(by_text.get(i, p), np.uint16(self.end)) for i, p in enumerate(parts)]
+            return np.concatenate(parts).astype("<u2"), np.fromiter(map(len, parts), np.int64, len(parts))
+        return np.insert(ids, where, what).astype("<u2"), counts + 1
+
+
+def _slots(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ids when every document begins at a whole control byte, and control bytes per document."""
+    controls = -(-counts // 4)
+    shift = 4 * (np.cumsum(controls) - controls) - (np.cumsum(counts) - counts)
+    return np.arange(int(counts.sum())) + np.repeat(shift, counts), controls
+
+
+def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control bytes and data bytes of documents with ``counts`` ranks each, and their number per document."""
     ranks = ranks.astype("<u4")
     size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    padded[: len(ranks)] = size - 1
-    control = padded.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
-    used = np.arange(4) < size[:, None]
-    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[used].tobytes()
-
-
-def unpack(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
-    """The first ``count`` ranks of the streams."""
-    size = _LENGTHS[control].reshape(-1)[:count]
-    wide = np.zeros((count, 4), np.uint8)
-    wide[np.arange(4) < size[:, None]] = data[: int(size.sum(dtype=np.int64))]
+    slots, controls = _slots(counts)
+    codes = np.zeros(4 * int(controls.sum()), np.uint8)
+    codes[slots] = size - 1
+    control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.concatenate([[0], np.cumsum(counts)])]
+    return control, controls, data, np.diff(ends)
+
+
+def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The ranks of documents with ``counts`` ranks each, one after another."""
+    slots, _ = _slots(counts)
+    size = _LENGTHS[control].reshape(-1)[slots]
+    wide = np.zeros((len(size), 4), np.uint8)
+    wide[np.arange(4) < size[:, None]] = data
     return wide.view("<u4").reshape(-1)
 
 
+def _binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive parts of the bytes as an Arrow array, without copying them."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("<i8")
+    large = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
+    return large.cast(pa.binary())
+
+
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """(doc_id, n, ids): every whole text's ids, the end id last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer, end_id)
+        encoder = worker_memory(("tokens", tokenizer, end_id), lambda: WordEncoder(tokenizer, end_id))
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                codes = encoder.encode([t or "" for t in part.column("text").to_pylist()])
-                counts = pa.array([len(c) // 2 for c in codes], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), counts, pa.array(codes, pa.binary())], ["doc_id", "n", "ids"])
+            for part in bounded(batch):
+                ids, counts = encoder.encode([t or "" for t in part.column("text").to_pylist()])
+                columns = [part.column("doc_id"), pa.array(counts, pa.int64()), _binaries(ids, 2 * counts)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "ids"])
 
     slim = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return slim.mapInArrow(run, "doc_id bigint, n bigint, ids binary")
@@ -158,10 +204,8 @@ def frequency_ranks(codes: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), "<u2"), minlength=1 << 16) if len(ids.as_buffer()) > 20_000 else 0
-            small = b"".join(i for i in batch.column("ids").to_pylist() if len(i) <= 20_000)
-            total += np.bincount(np.frombuffer(small, "<u2"), minlength=1 << 16)
+            for part in bounded(batch, "ids"):
+                total += np.bincount(np.frombuffer(b"".join(part.column("ids").to_pylist()), "<u2"), minlength=1 << 16)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
@@ -184,12 +228,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [pack(rank_of[np.frombuffer(ids, "<u2")]) for ids in batch.column("ids").to_pylist()]
-            control, data = zip(*pairs) if pairs else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n"), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
-                ["doc_id", "n", "control", "data"],
-            )
+            for part in bounded(batch, "ids"):
+                ids = np.frombuffer(b"".join(part.column("ids").to_pylist()), "<u2")
+                control, controls, data, sizes = pack(rank_of[ids], part.column("n").to_numpy())
+                columns = [part.column("doc_id"), part.column("n"), _binaries(control, controls), _binaries(data, sizes)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "control", "data"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -238,13 +281,9 @@ def read_documents(path: str, by_rank: np.ndarray) -> Iterator[tuple[int | None,
     counts = np.frombuffer(raw, "<i8", n_docs, 32 + 8 * n_docs)
     control = np.frombuffer(raw, np.uint8, n_control, 32 + 16 * n_docs)
     data = np.frombuffer(raw, np.uint8, -1, 32 + 16 * n_docs + n_control)
-    at = used = 0
-    for doc_id, count in zip(ids.tolist(), counts.tolist()):
-        own = control[at : at + -(-count // 4)]
-        ranks = unpack(own, data[used:], count)
-        at += len(own)
-        used += int(_LENGTHS[own].reshape(-1)[:count].sum(dtype=np.int64))
-        yield (None if doc_id == NO_ID else doc_id), by_rank[ranks]
+    ranks = unpack(control, data, counts)
+    for doc_id, part in zip(ids.tolist(), np.split(by_rank[ranks], np.cumsum(counts)[:-1])):
+        yield (None if doc_id == NO_ID else doc_id), part
 
 
 def token_digest(manifest: DataFrame, folder: str) -> DataFrame:
