@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from emberline.llm import decontaminate, lm, mixing, pii, quality, simhash, suffix_dedup, tokens, toxicity, warc
+from emberline.llm.oracles import ORACLES
 from emberline.sources.tables import table
 
 
@@ -51,7 +52,19 @@ def op5_language_model(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_private_data, op3_mixing, op4_simhash, op5_language_model, op6_quality, op7_warc, op8_toxicity, op9_tokens, op10_decontamination)
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup,
+        op2_private_data,
+        op3_mixing,
+        op4_simhash,
+        op5_language_model,
+        op6_quality,
+        op7_warc,
+        op8_toxicity,
+        op9_tokens,
+        op10_decontamination,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
