@@ -70,9 +70,14 @@ def unigram_model(tokens: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return joined.select(*keys, "token", "n", (F.ln("n") - F.ln("total")).alias("log_p"))
 
 
+def model_join(foreground: DataFrame, background: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Foreground tokens beside their counts and log probabilities in the background model."""
+    back = background.select("token", F.col("n").alias("all_n"), F.col("log_p").alias("all_log_p"))
+    return foreground.join(back, "token").select(*keys, "token", "n", "log_p", "all_n", "all_log_p")
+
+
 def kl_gain(foreground: DataFrame, background: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Contribution of each foreground token to the divergence from the background model."""
-    back = background.select("token", F.col("log_p").alias("bg"))
-    joined = foreground.join(back, "token")
-    gain = F.exp("log_p") * (F.col("log_p") - F.col("bg"))
+    joined = model_join(foreground, background, keys)
+    gain = F.exp("log_p") * (F.col("log_p") - F.col("all_log_p"))
     return joined.select(*keys, "token", "n", gain.alias("gain"))

@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from emberline.functions.text import all_words, match_words, ngrams, text_runs
-from emberline.operators.sizing import BROADCAST_ROWS, broadcast_if_small
+from emberline.operators.sizing import BROADCAST_ROWS, broadcast_if_bytes
+from emberline.sources.scratch import stage
 
-INLINE_TERMS = 256  # query terms a plan may carry as literals
 GRAM = 4  # characters of the key a substring is looked up by
 
 
@@ -19,9 +19,10 @@ GRAM = 4  # characters of the key a substring is looked up by
 def query_terms(topics: DataFrame) -> DataFrame:
     """``(topic_id, terms)``: the lower-case words, phrases and #tags of flat OR/AND queries.
 
-    Stop words never match a word, so they only survive inside phrases.
+    Stop words never match a word, so they only survive inside phrases.  A null query has no terms.
     """
-    parts = F.transform(F.split("query", r"\s+(?:OR|AND|or|and)\s+"), lambda t: F.lower(F.trim(F.replace(t, F.lit('"'), F.lit("")))))
+    query = F.coalesce("query", F.lit(""))
+    parts = F.transform(F.split(query, r"\s+(?:OR|AND|or|and)\s+"), lambda t: F.lower(F.trim(F.replace(t, F.lit('"'), F.lit("")))))
     return topics.select("topic_id", F.array_distinct(F.filter(parts, lambda t: F.length(t) > 0)).alias("terms"))
 
 
@@ -50,74 +51,31 @@ def _relevance(hits: Column, weight: Column, terms: Column, length: Column) -> C
 def topic_scores(posts: DataFrame, topics: DataFrame, op: str = "or", keep: tuple[str, ...] | None = None) -> DataFrame:
     """One row per post and matching topic with its ``score``.
 
-    Up to ``INLINE_TERMS`` terms travel as literals: matching is then a narrow expression without
-    any shuffle of the text, usable on streams as well.  More terms are joined on the word; only
-    rows that hit a term are shuffled, and the text is joined back by post id.
+    Every distinct unit of a post looks its topics up in a table by term, which is broadcast while it is
+    small.  A row found that way carries the topic's terms, so the score is worked out in the row; of the
+    rows of one post and topic, the one of the first unit found is kept.  No post is aggregated: the same
+    plan serves batches and streams, for any number of terms.
     """
     keep = tuple(keep or posts.columns)
-    terms = query_terms(topics)
-    listed = terms.limit(INLINE_TERMS + 1).collect()
-    if sum(len(t.terms) for t in listed) <= INLINE_TERMS:
-        return _inline_scores(posts, listed, op, keep)
-    return _joined_scores(posts, terms, op, keep)
-
-
-def _phrase_lengths(terms) -> list[int]:
-    return sorted({len(t.split(" ")) for t in terms} - {1})
-
-
-def _inline_scores(posts: DataFrame, listed, op: str, keep: tuple[str, ...]) -> DataFrame:
-    every = sorted({t for row in listed for t in row.terms})
-    if not every:
-        return posts.select(*keep, F.lit(None).cast("string").alias("topic_id"), F.lit(0.0).alias("score")).limit(0)
-    catalog = F.array(
-        *[
-            F.struct(F.lit(row.topic_id).alias("topic_id"), F.array(*[F.lit(t) for t in row.terms]).alias("terms"))
-            for row in listed
-            if row.terms
-        ]
-    )
-    framed = _with_units(posts, _phrase_lengths(every))
-    found = framed.withColumn("found", F.array_intersect("units", F.array(*[F.lit(t) for t in every])))
-    weighted = found.withColumn(
-        "found",
-        F.transform(
-            "found", lambda t: F.struct(t.alias("term"), F.sqrt(F.size(F.filter("units", lambda u: u == t))).alias("weight"))
-        ),
-    )
-
-    def score(topic: Column) -> Column:
-        own = F.filter("found", lambda f: F.array_contains(topic["terms"], f["term"]))
-        weight = F.aggregate(own, F.lit(0.0), lambda acc, f: acc + f["weight"])
-        return F.struct(
-            topic["topic_id"].alias("topic_id"), F.size(own).alias("hits"), F.size(topic["terms"]).alias("terms"), weight.alias("weight")
-        )
-
-    matches = F.filter(
-        F.transform(catalog, score), lambda m: m["hits"] == m["terms"] if op == "and" else m["hits"] > 0
-    )
-    rows = weighted.select(*keep, "length", F.explode(F.when(F.size("found") > 0, matches)).alias("m"))
-    return rows.select(
-        *keep, F.col("m.topic_id").alias("topic_id"), _relevance(F.col("m.hits"), F.col("m.weight"), F.col("m.terms"), F.col("length")).alias("score")
-    )
-
-
-def _joined_scores(posts: DataFrame, terms: DataFrame, op: str, keep: tuple[str, ...]) -> DataFrame:
-    per_term = terms.select("topic_id", F.size("terms").alias("terms"), F.explode("terms").alias("term"))
-    lengths = per_term.agg(F.collect_set(F.size(F.split("term", " ")))).first()[0]
-    framed = _with_units(posts, sorted(set(lengths) - {1}))
-    units = framed.select("post_id", "length", F.explode("units").alias("term"))
-    hits = units.join(broadcast_if_small(per_term), "term").groupBy("post_id", "topic_id", "terms", "length", "term")
-    per_topic = (
-        hits.agg(F.sqrt(F.count("*")).alias("weight"))
-        .groupBy("post_id", "topic_id", "terms", "length")
-        .agg(F.count("*").alias("hits"), F.sum("weight").alias("weight"))
-    )
+    terms = query_terms(topics).filter(F.size("terms") > 0)
+    per_term = terms.select("topic_id", "terms", F.explode("terms").alias("__term"))
+    facts = per_term.agg(
+        F.count("*").alias("rows"),
+        F.coalesce(F.sum(F.length("__term") + F.length(F.array_join("terms", " ")) + 64), F.lit(0)).alias("bytes"),
+        F.collect_set(F.size(F.split("__term", " "))).alias("lengths"),
+    ).first()
+    lookup = broadcast_if_bytes(per_term, 1, facts.bytes)
+    framed = _with_units(posts, sorted(set(facts.lengths) - {1}))
+    units = framed.select(*keep, "units", "length", F.explode(F.array_distinct("units")).alias("__term"))
+    found = units.join(lookup, "__term").withColumn("own", F.array_intersect("units", "terms"))
+    first = found.filter(F.element_at("own", 1) == F.col("__term"))
     if op == "and":
-        per_topic = per_topic.filter("hits = terms")
-    score = _relevance(F.col("hits"), F.col("weight"), F.col("terms"), F.col("length"))
-    scored = per_topic.select("post_id", "topic_id", score.alias("score"))
-    return posts.select(*keep).join(scored, "post_id").select(*keep, "topic_id", "score")
+        first = first.filter(F.size("own") == F.size("terms"))
+    weight = F.aggregate(
+        "own", F.lit(0.0), lambda acc, t: acc + F.sqrt(F.size(F.filter("units", lambda u: u == t)))
+    )
+    score = _relevance(F.size("own"), weight, F.size("terms"), F.col("length"))
+    return first.select(*keep, "topic_id", score.alias("score"))
 
 
 def topic_match(posts: DataFrame, topics: DataFrame, threshold: float = 0.0, op: str = "or") -> DataFrame:
@@ -129,27 +87,9 @@ def match_any_topic(posts: DataFrame, topics: DataFrame, threshold: float = 0.0,
     """Posts whose scores summed over all topics exceed ``threshold``, each once."""
     scored = topic_scores(posts, topics, op, keep=("post_id",))
     ids = scored.groupBy("post_id").agg(F.sum("score").alias("score")).filter(F.col("score") > threshold)
-    if threshold <= 0:
-        # Any hit passes: a semi join needs no sum, and the inline form can stay a plain filter.
-        listed = query_terms(topics).limit(INLINE_TERMS + 1).collect()
-        if sum(len(t.terms) for t in listed) <= INLINE_TERMS:
-            return _inline_any(posts, listed, op)
     return posts.join(ids.select("post_id"), "post_id", "left_semi")
 
 
-def _inline_any(posts: DataFrame, listed, op: str) -> DataFrame:
-    every = sorted({t for row in listed for t in row.terms})
-    framed = _with_units(posts, _phrase_lengths(every))
-    if op == "or":
-        test = F.arrays_overlap("units", F.array(*[F.lit(t) for t in every]))
-    else:
-        test = reduce(
-            lambda a, b: a | b,
-            [reduce(lambda a, b: a & b, [F.array_contains("units", t) for t in row.terms]) for row in listed if row.terms],
-        )
-    return framed.filter(test).select(*posts.columns)
-
-
 def match_summary(scored: DataFrame) -> DataFrame:
     """Best and mean score per topic."""
     return scored.groupBy("topic_id").agg(
@@ -160,9 +100,9 @@ def match_summary(scored: DataFrame) -> DataFrame:
 # --- substring matching ---------------------------------------------------------------------
 
 def topic_tokens(topics: DataFrame) -> DataFrame:
-    """``(topic_id, term)`` of the topics' token lists, lower case, without empty ones."""
-    rows = topics.select("topic_id", F.explode("tokens").alias("term")).distinct()
-    return rows.filter(F.length("term") > 0)
+    """``(topic_id, term)`` of the topics' token lists, lower case, without those of blanks only."""
+    rows = topics.select("topic_id", F.explode("tokens").alias("term"))
+    return rows.select("topic_id", F.lower("term").alias("term")).filter(F.col("term").rlike(r"[^ \t\n]")).distinct()
 
 
 def _pieces(run: Column, n: int) -> Column:
@@ -197,7 +137,10 @@ def substring_matches(posts: DataFrame, terms: DataFrame, keep: tuple[str, ...]
     vocabulary = runs.select("run").distinct().select("run", F.explode(grams).alias("gram"))
     keyed = F.broadcast(keyed) if facts.terms <= BROADCAST_ROWS else keyed
     inside = vocabulary.join(keyed, "gram").filter(F.contains("run", "part")).select("run", "term", "part").distinct()
-    hits = runs.join(inside, "run")
+    # Staged, its size is known: while it is small, the words of the corpus are not shuffled for it.
+    inside = stage(inside, "stretches")
+    size = inside.agg(F.coalesce(F.sum(F.length("run") + F.length("term") + F.length("part") + 64), F.lit(0))).first()[0]
+    hits = runs.join(broadcast_if_bytes(inside, 1, size), "run")
     if not facts.blanks:
         return hits.select(*ids, "term").distinct()
     # Terms with blanks are checked against the whole text; the others are matches already.
@@ -215,13 +158,13 @@ def _contains_any(text: Column, terms) -> Column:
 def keyword_match(posts: DataFrame, topics: DataFrame) -> DataFrame:
     """Posts whose lower-case text contains any topic token as a substring.
 
-    A short token list is a plain filter on the text; a long one goes through
-    :func:`substring_matches`.
+    A batch looks the tokens up by their first characters (:func:`substring_matches`).  A stream, which
+    can't group posts, tests each text against the list of tokens; the list is the topics' own, read
+    when the stream starts.
     """
     terms = topic_tokens(topics).select("term").distinct()
-    listed = [r.term for r in terms.limit(INLINE_TERMS + 1).collect()]
-    if len(listed) <= INLINE_TERMS:
-        return posts.filter(_contains_any(F.lower("text"), sorted(listed)))
+    if posts.isStreaming:
+        return posts.filter(_contains_any(F.lower("text"), sorted(r.term for r in terms.collect())))
     ids = substring_matches(posts, terms).select("post_id").distinct()
     return posts.join(ids, "post_id", "left_semi")
 

@@ -101,6 +101,17 @@ def topic_runs(
     return daily_cap(rows, cap)
 
 
+def titled_rows(rows: DataFrame, posts: DataFrame, topics: DataFrame, date: bool = False) -> DataFrame:
+    """Topic rows with title and text: ``topic, title, time, [date,] id, text``.
+
+    ``posts`` is ``(post_id, time, text)``, ``topics`` ``(topic_id, title)``.  Line ends of the text are blanked.
+    """
+    texts = posts.select("post_id", "time", F.regexp_replace("text", r"[\r\n]+", " ").alias("text")).dropDuplicates(["post_id", "time"])
+    full = rows.join(texts, ["post_id", "time"]).join(topics.select("topic_id", "title"), "topic_id", "left")
+    day = [format_time(F.timestamp_seconds("time"), "day_compact").alias("date")] if date else []
+    return full.select(F.col("topic_id").alias("topic"), "title", "time", *day, F.col("post_id").alias("id"), "text")
+
+
 def run_a(rows: DataFrame, tag: str) -> DataFrame:
     """Four-column run: ``topic, id, time, runtag``."""
     return rows.select(F.col("topic_id").alias("topic"), F.col("post_id").alias("id"), "time", F.lit(tag).alias("runtag"))
@@ -161,14 +172,15 @@ def check_run(lines: DataFrame, task: str, rules: dict = RUN_RULES) -> DataFrame
     """Each run line ``(line_no, value)`` with the first rule it breaks (``error``, else null).
 
     Task ``a`` lines are ``topic id time tag``, task ``b`` lines ``date topic Q0 id rank score tag``.
-    The tag of the first line is the run's tag.  A repeated (topic, id) is found by the smallest
+    The tag of the first line with the right number of fields is the run's tag.  A repeated (topic, id) is found by the smallest
     line number among the lines that pass the earlier rules.  ``q0_warning`` marks the first
     otherwise valid line of task b whose third field is not Q0.
     """
     names = ["topic", "id", "time", "tag"] if task == "a" else ["date", "topic", "q0", "id", "rank", "score", "tag"]
     fields = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
     rows = lines.filter(~F.col("value").rlike(r"^\s*$")).withColumn("f", fields)
-    tag = rows.agg(F.min_by(F.get("f", F.lit(len(names) - 1)), "line_no").alias("tag"), F.min("line_no").alias("first"))
+    whole = F.when(F.size("f") == len(names), F.col("line_no"))
+    tag = rows.agg(F.min_by(F.get("f", F.lit(len(names) - 1)), whole).alias("tag"), F.min(whole).alias("first"))
     rows = rows.select("line_no", F.size("f").alias("fields"), *[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)])
     rows = rows.withColumn("run_tag", tag.select("tag").scalar()).withColumn("first_line", tag.select("first").scalar())
 
@@ -176,7 +188,7 @@ def check_run(lines: DataFrame, task: str, rules: dict = RUN_RULES) -> DataFrame
     known = F.col("topic").rlike(f"^{rules['topic_prefix']}[0-9]{{3}}$") & number.try_cast("int").between(
         rules["first_topic"], rules["last_topic"]
     )
-    is_first = F.col("line_no") == F.col("first_line")
+    is_first = F.coalesce(F.col("line_no") == F.col("first_line"), F.lit(False))
     before = [
         ("fields", F.col("fields") != len(names)),
         ("malformed_tag", is_first & ~F.col("tag").rlike(rules["tag"])),

@@ -190,7 +190,7 @@ words AS (
   SELECT item_id, text, list_filter(regexp_extract_all(lower(text), '([\p{{L}}\p{{N}}_]+(?:''[\p{{L}}\p{{N}}_]+)*)', 1),
                               lambda w: NOT list_contains({STOPS}, w)) AS ws FROM benchmark),
 five AS (
-  SELECT item_id, text, list_filter(ws, lambda w, i: list_position(ws, w) = i)[1:5] AS five FROM words)"""
+  SELECT item_id, text, list_filter(ws, lambda w, i: list_position(ws, w) = i) AS five FROM words)"""
 oracle(
     "read_topics",
     """SELECT 'B' || item_id AS topic_id, array_to_string(five, ' OR ') AS query,
@@ -199,7 +199,7 @@ oracle(
 )
 oracle(
     "read_keywords",
-    "SELECT phrase FROM (SELECT lower(trim(unnest(string_split(string_split(text, '.')[1], chr(10))), ' ')) AS phrase FROM benchmark) WHERE length(phrase) > 0",
+    "SELECT phrase FROM (SELECT lower(trim(unnest(string_split(replace(text, '.', chr(10)), chr(10))), ' ')) AS phrase FROM benchmark) WHERE length(phrase) > 0",
 )
 oracle("read_candidate_ids", "SELECT doc_id AS post_id FROM labels WHERE quality = 1")
 
@@ -237,8 +237,8 @@ KEYWORDS3 = """
 any_token AS (SELECT list_distinct(flatten(list(tokens))) AS ts FROM topics WHERE {cond}),
 hit AS (SELECT posts.* FROM posts, any_token WHERE len(list_filter(ts, lambda t: contains(lower(text), t))) > 0)"""
 oracle("write_raw_matches", "SELECT post_id, text FROM hit WHERE lang = 'en'", POSTS, TOPICS, KEYWORDS3.format(cond="TRUE"))
-oracle("topic_corpus_filter", "SELECT post_id, text FROM hit WHERE lang = 'en'", POSTS, TOPICS, KEYWORDS3.format(cond="topic_id > 'T2'"))
-oracle("keyword_match", "SELECT post_id FROM hit", POSTS, TOPICS, KEYWORDS3.format(cond="topic_id > 'T2'"))
+oracle("topic_corpus_filter", "SELECT post_id, text FROM hit WHERE lang = 'en'", POSTS, TOPICS, KEYWORDS3.format(cond="TRUE"))
+oracle("keyword_match", "SELECT post_id FROM hit", POSTS, TOPICS, KEYWORDS3.format(cond="TRUE"))
 
 
 def topic_dense(major: int = 6) -> tuple[str, ...]:
@@ -268,7 +268,7 @@ oracle(
     "write_burst_log",
     f"""SELECT topic_id, token, {r6('score')}, win * {H * 1000} AS epoch_ms FROM (
           SELECT *, row_number() OVER (PARTITION BY topic_id, win ORDER BY round(score, 9) DESC, token) AS rank
-          FROM tscores WHERE length(token) >= 4) WHERE rank <= 100 AND score > 0.02""",
+          FROM tscores WHERE length(token) >= 4) WHERE rank <= 100""",
     *topic_dense(),
 )
 
@@ -329,6 +329,13 @@ oracle(
     *run_parts("twice", 1, 11, True, True),
 )
 
+oracle(
+    "topic_rows",
+    """SELECT topic_id AS topic, query AS title, time, strftime(to_timestamp(time)::TIMESTAMP, '%Y%m%d') AS date, post_id AS id,
+              regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS text FROM rows_ JOIN timed USING (post_id, time) JOIN topics USING (topic_id)""",
+    POSTS, TOPICS, TIMED, *run_parts("timed", 1, 100, True, False),
+)
+
 # --- filters --------------------------------------------------------------------------------
 
 oracle(
@@ -347,6 +354,13 @@ oracle("filter_entity_counts", "SELECT post_id FROM posts WHERE len(hashtags) <=
 oracle("filter_min_tokens", "SELECT post_id FROM tok WHERE len(summary) >= 100", *ALL)
 oracle("filter_repost_count", "SELECT post_id FROM posts WHERE orig_repost_count >= 100", POSTS)
 oracle("topic_match", "SELECT post_id, topic_id FROM scored WHERE score > 0", *MATCH)
+MANY = """
+asked AS (SELECT 'B' || item_id AS topic_id, unnest(five) AS term, len(five) AS total FROM five),
+freqs AS (SELECT post_id, u AS term, len(plain) AS size, count(*) AS freq FROM (SELECT post_id, plain, unnest(us) AS u FROM units) GROUP BY ALL),
+many AS (
+  SELECT post_id, (hits / total) * weight * pow(1 + ln(0.5), 2) / sqrt(hits * pow(1 + ln(0.5), 2) + (total - hits)) / sqrt(greatest(size, 1)) AS score
+  FROM (SELECT post_id, topic_id, total, size, count(*) AS hits, sum(sqrt(freq)) AS weight FROM freqs JOIN asked USING (term) GROUP BY ALL))"""
+oracle("topic_match_many", f"SELECT post_id, count(*) AS topics, {r6('sum(score)', 'score')} FROM many GROUP BY post_id", POSTS, units("posts"), WORDS5, MANY)
 oracle("topic_match_all", "SELECT post_id, topic_id FROM scored WHERE score > 0", POSTS, TOPICS, units("posts"), relevance(op="and"))
 oracle("topic_score", f"SELECT post_id, topic_id, {r6('score')} FROM scored", *MATCH)
 oracle("filter_term_length", "SELECT DISTINCT token FROM (SELECT unnest(summary) AS token FROM tok) WHERE length(token) >= 10", *ALL)
@@ -427,10 +441,10 @@ oracle(
 )
 oracle(
     "parse_topic_markup",
-    r"""SELECT 'MB' || item_id AS num, trim(string_split(text, '.')[1], E' \n\t\r') AS title,
+    r"""SELECT 'MB' || item_id AS num, trim(replace(text, '<', ' '), E' \n\t\r') AS title,
               trim(string_split(replace(text, '<', ' '), E'\x01')[1], E' \n\t\r') AS "desc" FROM benchmark""",
 )
-oracle("score_magnitude", f"SELECT win, token, {r6('score')}, {r6('rising')} FROM scores WHERE score > 0.005", *EN_SCORES)
+oracle("score_magnitude", f"SELECT win, token, {r6('score')}, {r6('rising')} FROM scores", *EN_SCORES)
 
 # --- counts ---------------------------------------------------------------------------------
 
@@ -721,6 +735,42 @@ oracle(
                FROM walk w JOIN steps s ON s.topic_id = w.topic_id AND s.step = w.step + 1))""",
 )
 
+oracle(
+    "write_threshold_log",
+    f"""SELECT topic_id, bursts AS passing, {r6('before', 'old_threshold')}, {r6('after_', 'new_threshold')}, win * {H * 1000} AS epoch_ms
+        FROM walk WHERE step > 0 AND before <> after_""",
+    RECURSIVE,
+    *topic_dense(),
+    """steps AS (SELECT topic_id, win, row_number() OVER (PARTITION BY topic_id ORDER BY win) AS step,
+         list(score) FILTER (length(token) >= 4) AS found FROM tscores GROUP BY topic_id, win)""",
+    """walk AS (
+         SELECT DISTINCT topic_id, CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS win, CAST(0 AS BIGINT) AS bursts,
+                CAST(0.03 AS DOUBLE) AS before, CAST(0.03 AS DOUBLE) AS after_, CAST(0 AS BIGINT) AS quiet FROM steps
+         UNION ALL
+         SELECT topic_id, step, win, n, thr,
+                CASE WHEN n > 10 THEN pow(thr, 0.75)
+                     WHEN quiet_now >= 6 AND step > 6 AND pow(thr, 1 / 0.75) >= 0.03 - 1e-12 THEN pow(thr, 1 / 0.75) ELSE thr END, quiet_now
+         FROM (SELECT *, CASE WHEN n = 0 THEN quiet + 1 ELSE 0 END AS quiet_now
+               FROM (SELECT s.topic_id, s.step, s.win, w.after_ AS thr, w.quiet,
+                            coalesce(len(list_filter(s.found, lambda x: x > w.after_)), 0) AS n
+                     FROM walk w JOIN steps s ON s.topic_id = w.topic_id AND s.step = w.step + 1)))""",
+)
+oracle(
+    "repost_escalation_long",
+    f"""SELECT topic_id, slot, posts, {r6('before', 'old_threshold')}, {r6('after_', 'new_threshold')} FROM walk
+        WHERE step > 0 AND before <> after_""",
+    RECURSIVE,
+    f"""events_ AS (SELECT CAST(floor(epoch(ts) / {12 * H}) AS BIGINT) AS slot, CAST(pow(2, CAST(floor(value * 10) AS BIGINT) % 45) AS BIGINT) AS reach FROM events)""",
+    """steps AS (SELECT 'T' AS topic_id, slot, row_number() OVER (ORDER BY slot) AS step, list(reach) AS found FROM events_ GROUP BY slot)""",
+    """walk AS (
+         SELECT DISTINCT topic_id, CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS slot, CAST(0 AS BIGINT) AS posts,
+                CAST(1 AS DOUBLE) AS before, CAST(1 AS DOUBLE) AS after_ FROM steps
+         UNION ALL
+         SELECT topic_id, step, slot, n, thr, CASE WHEN n > 10 THEN thr * 1.5 ELSE thr END
+         FROM (SELECT s.topic_id, s.step, s.slot, w.after_ AS thr, len(list_filter(s.found, lambda x: x >= w.after_)) AS n
+               FROM walk w JOIN steps s ON s.topic_id = w.topic_id AND s.step = w.step + 1))""",
+)
+
 # --- jobs -----------------------------------------------------------------------------------
 
 
@@ -811,7 +861,7 @@ def dirty_run(task: str) -> tuple[str, ...]:
     )
 
 
-def run_check(task: str) -> tuple[str, ...]:
+def run_check(task: str, first_topic: int = 226) -> tuple[str, ...]:
     width = 4 if task == "a" else 7
     names = ["topic", "id", "time", "tag"] if task == "a" else ["date", "topic", "q0", "id", "rank", "score", "tag"]
     picks = ", ".join(f"f[{i + 1}] AS {n}" for i, n in enumerate(names))
@@ -827,9 +877,9 @@ def run_check(task: str) -> tuple[str, ...]:
         r"split AS (SELECT line_no, regexp_split_to_array(trim(value), '\s+') AS f FROM lines)",
         f"named AS (SELECT line_no, len(f) AS width, {picks} FROM split)",
         f"""early AS (SELECT *, CASE WHEN width <> {width} THEN 'fields'
-             WHEN line_no = (SELECT min(line_no) FROM named) AND NOT regexp_matches(tag, '^[A-Za-z0-9_.-]{{1,15}}$') THEN 'malformed_tag'
-             WHEN tag <> (SELECT arg_min(f[{width}], line_no) FROM split) THEN 'other_tag'
-             WHEN topic NOT IN (SELECT 'MB' || unnest(range(226, 451))) THEN 'unknown_topic'
+             WHEN line_no = (SELECT min(line_no) FROM named WHERE width = {width}) AND NOT regexp_matches(tag, '^[A-Za-z0-9_.-]{{1,15}}$') THEN 'malformed_tag'
+             WHEN tag <> (SELECT arg_min(f[{width}], line_no) FROM split WHERE len(f) = {width}) THEN 'other_tag'
+             WHEN topic NOT IN (SELECT 'MB' || unnest(range({first_topic}, 451))) THEN 'unknown_topic'
              WHEN NOT regexp_matches(id, '^[0-9]{{18}}$') THEN 'unknown_id' END AS err FROM named)""",
         """dup AS (SELECT *, err IS NULL AND row_number() OVER (PARTITION BY topic, id, err IS NULL ORDER BY line_no) > 1 AS again FROM early)""",
         f"checked AS (SELECT *, CASE WHEN err IS NOT NULL THEN err WHEN again THEN 'duplicate' {late} END AS error FROM dup)",
@@ -845,8 +895,8 @@ oracle(
 )
 oracle(
     "validate_run_caps",
-    "SELECT topic, count(*) AS rows, 'warning' AS level FROM checked WHERE error IS NULL GROUP BY topic HAVING count(*) > 3",
-    *run_check("a"),
+    "SELECT topic, count(*) AS rows, 'warning' AS level FROM checked WHERE error IS NULL GROUP BY topic HAVING count(*) > 1",
+    *run_check("a", 200),
 )
 oracle(
     "merge_near_duplicates",

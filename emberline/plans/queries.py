@@ -156,7 +156,7 @@ def _(spark, folder):
     """Topics of the items, written as JSON array files in the three accepted shapes."""
     items = table(spark, folder, "benchmark")
     shape = F.when(F.length("text") > 700, "v1").when(F.length("text") > 400, "v2").otherwise("v3")
-    words = F.slice(F.array_distinct(X.match_words(F.col("text"))), 1, 5)
+    words = F.array_distinct(X.match_words(F.col("text")))
     record = items.select(
         shape.alias("shape"),
         F.concat(F.lit("B"), F.col("item_id")).alias("id"),
@@ -167,9 +167,9 @@ def _(spark, folder):
     v2 = record.filter("shape = 'v2'").select(F.to_json(F.struct("query", F.col("id").alias("num"), "tokens")).alias("j"))
     v3 = record.filter("shape = 'v3'").select(F.to_json(F.struct(F.col("query").alias("title"), F.col("id").alias("num"), "tokens")).alias("j"))
     path = scratch_path(spark, "topics-json")
-    lists = v1.unionByName(v2).unionByName(v3).groupBy(F.pmod(F.xxhash64("j"), F.lit(4)).alias("part"))
-    array = lists.agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))
-    array.write.partitionBy("part").text(path)
+    # One JSON array per file: a file holds one topic, so nothing gathers the whole list.
+    arrays = v1.unionByName(v2).unionByName(v3).select(F.concat(F.lit("["), "j", F.lit("]")).alias("value"), F.monotonically_increasing_id().alias("part"))
+    arrays.write.partitionBy("part").text(path)
     read = TOPICS.read_topics(spark, path)
     return read.select("topic_id", "query", joined("tokens").alias("tokens"))
 
@@ -177,7 +177,7 @@ def _(spark, folder):
 @query("read_keywords")
 def _(spark, folder):
     path = scratch_path(spark, "keywords")
-    table(spark, folder, "benchmark").select(F.split("text", r"\.")[0].alias("value")).write.text(path)
+    table(spark, folder, "benchmark").select(F.explode(F.split("text", r"\.")).alias("value")).write.text(path)
     return TOPICS.read_keywords(spark, path)
 
 
@@ -242,10 +242,19 @@ def _(spark, folder):
 def _(spark, folder):
     path = scratch_path(spark, "burst-log")
     terms = L.top_terms(P.filter_term_length(topic_scores(spark, folder), 4), 100, ("topic_id", "win"))
-    sinks.write_burst_log(P.filter_burst(terms, 0.02), path, HOUR)
+    sinks.write_burst_log(terms, path, HOUR)
     return scored(spark.read.schema("topic_id string, token string, score double, epoch_ms bigint").csv(path, escape='"'))
 
 
+@query("write_threshold_log")
+def _(spark, folder):
+    path = scratch_path(spark, "threshold-log")
+    changes = folds.fold_threshold(topic_scores(spark, folder), 0.03, major=2)
+    sinks.write_threshold_log(changes, path, HOUR)
+    names = "topic_id string, passing bigint, old_threshold double, new_threshold double, epoch_ms bigint"
+    return scored(spark.read.schema(names).csv(path, escape='"'), "old_threshold", "new_threshold")
+
+
 @query("delivery_payload")
 def _(spark, folder):
     """Payloads of the posts most similar to an earlier one of their hour."""
@@ -329,7 +338,7 @@ def _(spark, folder):
 
 @query("keyword_match")
 def _(spark, folder):
-    return ids(M.keyword_match(posts(spark, folder), topics(spark).filter("topic_id > 'T2'")))
+    return ids(M.keyword_match(posts(spark, folder), topics(spark)))
 
 
 @query("topic_match")
@@ -337,6 +346,20 @@ def _(spark, folder):
     return M.topic_match(posts(spark, folder), topics(spark)).select("post_id", "topic_id")
 
 
+def item_topics(spark, folder) -> DataFrame:
+    """Every item as a topic that asks for any of its words, far more terms than a plan could spell out."""
+    items = table(spark, folder, "benchmark")
+    words = F.array_join(F.array_distinct(X.match_words(F.col("text"))), " OR ")
+    return items.select(F.concat(F.lit("B"), F.col("item_id")).alias("topic_id"), words.alias("query"), F.array().cast("array<string>").alias("tokens"))
+
+
+@query("topic_match_many")
+def _(spark, folder):
+    """Matches per post and of all items' words as topics."""
+    found = M.topic_match(posts(spark, folder), item_topics(spark, folder))
+    return scored(found.groupBy("post_id").agg(F.count("*").alias("topics"), F.sum("score").alias("score")))
+
+
 @query("topic_match_all")
 def _(spark, folder):
     """All terms of a query have to occur."""
@@ -471,7 +494,7 @@ def _(spark, folder):
     items = table(spark, folder, "benchmark")
     line = F.concat(
         F.lit("<top>\n<num> Number: MB"), F.col("item_id"),
-        F.lit("\n<title> "), F.split("text", r"\.")[0],
+        F.lit("\n<title> "), F.replace("text", F.lit("<"), F.lit(" ")),
         F.lit("\n<desc> Description:\n"), F.replace("text", F.lit("<"), F.lit(" ")), F.lit("\n\n</top>\n"),
     )
     path = scratch_path(spark, "markup")
@@ -485,7 +508,7 @@ def _(spark, folder):
     cells, lo, hi = en_counts(spark, folder)
     rising = S.burst_scores(cells, lo, hi, CONF.major, "warm", "rising").withColumnRenamed("score", "rising")
     both = rising.withColumn("score", F.abs("rising"))
-    return scored(both.filter("score > 0.005"), "score", "rising")
+    return scored(both, "score", "rising")
 
 
 # --- counts ---------------------------------------------------------------------------------
@@ -559,9 +582,7 @@ def _(spark, folder):
 
 @query("model_join")
 def _(spark, folder):
-    foreground, background = language_models(spark, folder)
-    back = background.select("token", F.col("n").alias("all_n"), F.col("log_p").alias("all_log_p"))
-    return scored(foreground.join(back, "token"), "log_p", "all_log_p")
+    return scored(C.model_join(*language_models(spark, folder), ("lang",)), "log_p", "all_log_p")
 
 
 def matches(spark, folder) -> DataFrame:
@@ -862,6 +883,16 @@ def _(spark, folder):
     return scored(changes.select("topic_id", epoch(), "bursts", "old_threshold", "new_threshold"), "old_threshold", "new_threshold")
 
 
+@query("repost_escalation_long")
+def _(spark, folder):
+    """All events as posts of one topic: a threshold that rises at nearly every half day, far beyond 16 times."""
+    events = table(spark, folder, "events")
+    slot = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / (12 * HOUR)).cast("bigint")
+    reach = F.pow(F.lit(2), F.floor(F.col("value") * 10) % 45).cast("bigint")
+    rows = events.select(F.lit("T").alias("topic_id"), slot.alias("slot"), reach.alias("orig_repost_count"))
+    return scored(folds.fold_escalation(rows, 1.0, 1.5), "old_threshold", "new_threshold")
+
+
 @query("repost_escalation")
 def _(spark, folder):
     matched = C.with_slots(M.topic_match(posts(spark, folder), topics(spark)), 24 * HOUR)
@@ -915,7 +946,7 @@ def _(spark, folder):
 
 @query("topic_corpus_filter")
 def _(spark, folder):
-    lines = J.topic_corpus_filter(IN.post_lines(posts(spark, folder)), topics(spark).filter("topic_id > 'T2'"))
+    lines = J.topic_corpus_filter(IN.post_lines(posts(spark, folder)), topics(spark))
     return IN.parse_posts(lines).select("post_id", "text")
 
 
@@ -933,6 +964,16 @@ def _(spark, folder):
     return runs.topic_runs(twice, topics(spark), min_hits=1, cap=11, lemmas=lemmas(spark, folder))
 
 
+@query("topic_rows")
+def _(spark, folder):
+    """Topic rows with title and text, the query standing for the title."""
+    at = TS.format_time(F.col("created_at"), "epoch_s")
+    once = posts(spark, folder).select("post_id", at.alias("time"), "text")
+    named = topics(spark).withColumnRenamed("query", "title")
+    rows = runs.topic_runs(once, named, min_hits=1, cap=100)
+    return runs.titled_rows(rows, once, named, date=True)
+
+
 def dirty_run(spark, folder, task: str) -> DataFrame:
     """A run of all posts with the mistakes the check looks for, spread by the events' values."""
     rows = posts(spark, folder).select("post_id", "user_id", "orig_repost_count", "is_repost", "lang", "source")
@@ -966,7 +1007,8 @@ def _(spark, folder):
 
 @query("validate_run_caps")
 def _(spark, folder):
-    rules = runs.RUN_RULES | {"max_rows": 3}
+    """A cap of one row per topic, over topics that are all known, so that there are rows to report."""
+    rules = runs.RUN_RULES | {"max_rows": 1, "first_topic": 200}
     return runs.check_caps(runs.check_run(dirty_run(spark, folder, "a"), "a", rules), "a", rules)
 
 

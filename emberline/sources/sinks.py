@@ -24,7 +24,7 @@ def write_selected(selected: DataFrame, path: str, width: int, mode: str = "erro
 
 
 def read_selected(spark, path) -> DataFrame:
-    return spark.read.schema("topic string, epoch_s bigint, id bigint, text string").csv(path, escape='"', multiLine=True)
+    return spark.read.schema("topic string, epoch_s bigint, id bigint, text string").csv(path, escape='"')
 
 
 def scored_term_rows(scores: DataFrame, width: int) -> DataFrame:
@@ -61,6 +61,18 @@ def write_burst_log(terms: DataFrame, path: str, width: int) -> None:
     burst_log_rows(terms, width).write.mode("append").csv(path, escape='"')
 
 
+def threshold_log_rows(changes: DataFrame, width: int, step: str = "win") -> DataFrame:
+    """``topic, passing, old, new, epoch_ms`` of threshold changes; ``passing`` is the count that caused one."""
+    passing = "bursts" if "bursts" in changes.columns else "posts"
+    at = (F.col(step) * F.lit(width * 1000)).alias("epoch_ms")
+    return changes.select("topic_id", F.col(passing).alias("passing"), "old_threshold", "new_threshold", at)
+
+
+def write_threshold_log(changes: DataFrame, path: str, width: int, step: str = "win") -> None:
+    """Lines of the burst log that tell of a threshold's change."""
+    threshold_log_rows(changes, width, step).write.mode("append").csv(path, escape='"')
+
+
 def delivery_payload(selected: DataFrame, base: str, client: str) -> DataFrame:
     """Target address and JSON body per delivered post (``topic_id, post_id, sim, hits``)."""
     body = F.struct(

@@ -83,3 +83,20 @@ def test_repost_threshold_escalates(spark):
     frame = spark.createDataFrame(rows, "topic_id string, slot bigint, orig_repost_count bigint")
     got = [tuple(r) for r in folds.fold_escalation(frame, 100).orderBy("slot").collect()]
     assert got == [("T", 1, 11, 100.0, 1000.0), ("T", 3, 11, 1000.0, 10000.0)]
+
+
+def test_thresholds_have_no_cap(spark):
+    rows = [("T", w, 10**9) for w in range(1, 41) for _ in range(11)]
+    frame = spark.createDataFrame(rows, "topic_id string, slot bigint, orig_repost_count bigint")
+    got = folds.fold_escalation(frame, 1, 2).orderBy("slot").collect()
+    assert len(got) == 30 and got[-1].new_threshold == 2.0**30
+
+
+@pytest.mark.parametrize("base", [0.01, 0.9, 1.0, 1.5])
+def test_levels_are_the_thresholds_passed(spark, base):
+    values = [0.001, 0.01, 0.02, 0.3, 0.9, 0.95, 0.999999, 1.0, 1.0001, 1.2, 1.5, 7.0]
+    values += [(base ** (0.75**k) + base ** (0.75 ** (k + 1))) / 2 for k in range(40)]
+    frame = spark.createDataFrame([("T", i, "token", v) for i, v in enumerate(values)], "topic_id string, win bigint, token string, score double")
+    for r in folds.burst_levels(frame, base).collect():
+        for k in range(100):
+            assert (r.low <= k < r.high) == (values[r.step] > base ** (0.75**k)), (values[r.step], k)

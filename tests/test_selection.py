@@ -104,17 +104,33 @@ def test_substring_matches_equal_brute_force(spark):
 
 
 @pytest.mark.parametrize("op", ["or", "and"])
-def test_inline_and_joined_topic_scores_agree(spark, op, monkeypatch):
+@pytest.mark.parametrize("bytes_", [0, 1 << 30])
+def test_topic_scores(spark, op, bytes_, monkeypatch):
+    monkeypatch.setattr("emberline.operators.sizing.BROADCAST_BYTES", bytes_)
     posts = post_rows(spark, ["vaccine news from here", "Vaccine vaccine vax", "the new york times", "new in york", "of the"])
-    topics = topics_frame(spark, [("1", "vaccine OR vax", []), ("2", '"new york" OR times', []), ("3", "the OR of", [])])
-    rows = lambda: {(r.post_id, r.topic_id, round(r.score, 9)) for r in M.topic_scores(posts, topics, op).collect()}
-    inline = rows()
-    monkeypatch.setattr(M, "INLINE_TERMS", 0)
-    assert rows() == inline
-    ids = {(p, t) for p, t, _ in inline}
+    topics = topics_frame(spark, [("1", "vaccine OR vax", []), ("2", '"new york" OR times', []), ("3", "the OR of", []), ("4", None, None), ("5", "", [])])
+    ids = {(r.post_id, r.topic_id) for r in M.topic_scores(posts, topics, op).collect()}
     assert ids == ({(0, "1"), (1, "1"), (2, "2")} if op == "or" else {(1, "1"), (2, "2")})
 
 
+def test_topics_without_query_take_no_place(spark):
+    posts = post_rows(spark, ["vaccine news"])
+    topics = topics_frame(spark, [(str(i), None, []) for i in range(257)] + [("real", "news", [])])
+    assert [r.topic_id for r in M.topic_match(posts, topics).collect()] == ["real"]
+    assert M.topic_match(posts, topics.limit(3)).count() == 0
+
+
+def test_stream_matches_any_number_of_terms(spark, tmp_path):
+    post_rows(spark, ["w7 and w299", "none"]).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    topics = topics_frame(spark, [(f"t{i}", f"w{i}", ["w7"]) for i in range(300)])
+    for found in (M.topic_match(stream, topics).select("post_id", "topic_id"), M.keyword_match(stream, topics).select("post_id")):
+        query = found.writeStream.format("memory").queryName("found").trigger(availableNow=True).start()
+        query.awaitTermination()
+        rows = {tuple(r) for r in spark.table("found").collect()}
+        assert rows in ({(0, "t7"), (0, "t299")}, {(0,)})
+
+
 def test_daily_cap_is_never_exceeded(spark):
     rows = [("T", i, 86400 * (i % 2) + i) for i in range(40)]
     frame = spark.createDataFrame(rows, "topic_id string, post_id bigint, time bigint")
