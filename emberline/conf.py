@@ -7,7 +7,11 @@ from dataclasses import dataclass, fields, replace
 
 @dataclass(frozen=True)
 class BurstConf:
-    """Parameters of the burst jobs; ``width`` is the slice length in seconds."""
+    """Parameters of the burst jobs; ``width`` is the slice length in seconds.
+
+    ``search_terms`` is the number of bursting terms a streaming window searches for per topic (None: all);
+    ``horizon`` the number of slots a delivered post is compared with new ones (None: for ever).
+    """
 
     width: int = 60
     minor: int = 1
@@ -33,6 +37,8 @@ class BurstConf:
     burst_term_length: int = 4
     lang: str = "en"
     spam_terms: tuple[str, ...] = ("follow",)
+    search_terms: int | None = 100
+    horizon: int | None = None
 
     def with_(self, **changes) -> "BurstConf":
         return replace(self, **changes)

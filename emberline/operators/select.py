@@ -13,6 +13,8 @@ from emberline.operators.novelty import max_similarity, rare_first, repeats, tok
 from emberline.operators.sizing import at_most
 from emberline.sources.scratch import stage
 
+LAST_FLOOR = 0.03  # below this similarity, nearly all tokens of a set are keys
+
 
 def top_per_group(df: DataFrame, keys, order, k: int) -> DataFrame:
     """The first ``k`` rows of each group."""
@@ -97,10 +99,23 @@ def select_posts(
     return rest.select("id", *group).unionByName(chosen.select("id", *group))
 
 
+def _floors(threshold: float):
+    """The threshold, halved as long as a floor still spares comparisons, then 0."""
+    while threshold > LAST_FLOOR:
+        yield threshold
+        threshold /= 2
+    yield 0.0
+
+
 def _similarities(contested, sets, threshold, k, order, scope, group) -> DataFrame:
-    """Adds ``sim`` to contested posts, as far as the choice of ``k`` per group needs it."""
+    """Adds ``sim`` to contested posts, as far as the choice of ``k`` per group needs it.
+
+    A group is settled once ``k`` of its posts are known to be more similar than the rest
+    (``similar_first``), or once no more than ``k`` are left below the floor (``novel_first``): all of
+    those are chosen, and count as less similar than any other.  Only posts of open groups go on to the next floor.
+    """
     open_, done = stage(contested, "open"), None
-    for floor in (threshold, threshold / 2, 0.0):
+    for floor in _floors(threshold):
         best = max_similarity(open_, sets, floor, scope)
         scored = open_.join(best, "id", "left")
         if floor == 0.0:
@@ -113,6 +128,10 @@ def _similarities(contested, sets, threshold, k, order, scope, group) -> DataFra
             # Whatever is still open is less similar than everything found.
             enough = done.groupBy(*group).agg(F.count("*").alias("__n")).filter(F.col("__n") >= k).select(*group)
             open_ = open_.join(enough, list(group), "left_anti")
+        elif k:
+            few = open_.groupBy(*group).agg(F.count("*").alias("__n")).filter(F.col("__n") <= k).select(*group)
+            done = done.unionByName(open_.join(few, list(group), "left_semi").withColumn("sim", F.lit(-1.0)))
+            open_ = open_.join(few, list(group), "left_anti")
         if at_most(open_, 0):
             break
     return done

@@ -14,11 +14,13 @@ def at_most(df: DataFrame, rows: int) -> bool:
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only once the row count is known to be within ``rows``.
+    """Hint a broadcast only once the row count and the bytes are known to be within bounds.
 
-    Beyond it the frame is returned as it is and the join shuffles on its keys.
+    Beyond them the frame is returned as it is and the join shuffles on its keys.
     """
-    return F.broadcast(df) if at_most(df, rows) else df
+    width = sum((F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
+    facts = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if facts.n <= rows and facts.bytes <= BROADCAST_BYTES else df
 
 
 def broadcast_if_bytes(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

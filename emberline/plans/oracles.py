@@ -766,7 +766,7 @@ oracle(
          SELECT DISTINCT topic_id, CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS slot, CAST(0 AS BIGINT) AS posts,
                 CAST(1 AS DOUBLE) AS before, CAST(1 AS DOUBLE) AS after_ FROM steps
          UNION ALL
-         SELECT topic_id, step, slot, n, thr, CASE WHEN n > 10 THEN thr * 1.5 ELSE thr END
+         SELECT topic_id, step, slot, n, thr, CASE WHEN n > 10 THEN thr * 2 ELSE thr END
          FROM (SELECT s.topic_id, s.step, s.slot, w.after_ AS thr, len(list_filter(s.found, lambda x: x >= w.after_)) AS n
                FROM walk w JOIN steps s ON s.topic_id = w.topic_id AND s.step = w.step + 1))""",
 )

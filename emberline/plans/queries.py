@@ -890,7 +890,7 @@ def _(spark, folder):
     slot = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / (12 * HOUR)).cast("bigint")
     reach = F.pow(F.lit(2), F.floor(F.col("value") * 10) % 45).cast("bigint")
     rows = events.select(F.lit("T").alias("topic_id"), slot.alias("slot"), reach.alias("orig_repost_count"))
-    return scored(folds.fold_escalation(rows, 1.0, 1.5), "old_threshold", "new_threshold")
+    return scored(folds.fold_escalation(rows, 1.0, 2.0), "old_threshold", "new_threshold")
 
 
 @query("repost_escalation")

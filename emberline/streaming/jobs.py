@@ -22,15 +22,14 @@ from emberline.operators.windows import slot_range
 from emberline.sources.scratch import stage
 from emberline.streaming.prepare import repost_prepare, stream_prepare
 
-LOGGED_TERMS = 100  # bursting terms taken per topic and window
-
 COUNTS = "topic_id string, slot bigint, token string, n bigint"
 PROGRESS = "first_slot bigint, last_slot bigint"
 POSTS = "topic_id string, post_id bigint, user_id bigint, created_at timestamp, text string, tokens array<string>, own bigint"
-LEVELS = "topic_id string, step bigint, level int, n bigint"
+LEVELS = "topic_id string, step bigint, low bigint, high bigint, n bigint"
 DELIVERED = "topic_id string, win bigint, post_id bigint, text string, tokens array<string>, sim double, hits bigint"
 TERMS = "topic_id string, win bigint, token string, score double"
 THRESHOLDS = "topic_id string, threshold double"
+CHANGES = "topic_id string, win bigint, bursts bigint, old_threshold double, new_threshold double"
 
 
 class Memory:
@@ -122,7 +121,7 @@ def select_closed(
     return fresh.join(sims, "id").select("topic_id", "win", "post_id", "text", "tokens", "sim", "hits")
 
 
-def burst_step(conf: BurstConf, folder: str, late_slots: int = 0, topics: int = 1, horizon: int | None = None):
+def burst_step(conf: BurstConf, folder: str, late_slots: int = 0, topics: int = 1):
     """Step of the burst job over prepared posts (one row per post and topic).
 
     A slot closes once a post ``late_slots`` + 1 slots later has arrived.  All windows a batch
@@ -160,12 +159,15 @@ def burst_step(conf: BurstConf, folder: str, late_slots: int = 0, topics: int =
         limits = thresholds_at(changes, scores.select("topic_id", "win").distinct(), conf.burst_threshold)
         bursting = filter_term_length(scores.join(limits, ["topic_id", "win"]), conf.burst_term_length)
         bursting = bursting.filter(F.col("score") > F.col("threshold")).drop("threshold")
-        terms = best_terms(bursting, LOGGED_TERMS, ("topic_id", "win")).select("topic_id", "win", "token", "score")
+        memory.append("changes", number, changes.join(scores.select("topic_id", "win").distinct(), ["topic_id", "win"], "left_semi"))
+        terms = bursting.select("topic_id", "win", "token", "score")
+        if conf.search_terms is not None:
+            terms = best_terms(terms, conf.search_terms, ("topic_id", "win"))
         memory.append("terms", number, terms)
         terms = spark.read.schema(TERMS).parquet(f"{folder}/terms/batch={number}")
         for row in terms.select("win").distinct().orderBy("win").collect():
             window = seen.filter(F.col("own").between(row.win - conf.minor + 1, row.win))
-            delivered = remember(memory.read("delivered", DELIVERED), horizon, row.win).filter(F.col("win") < row.win)
+            delivered = remember(memory.read("delivered", DELIVERED), conf.horizon, row.win).filter(F.col("win") < row.win)
             chosen = select_closed(window, terms.filter(F.col("win") == row.win), delivered, row.win, conf)
             chosen.write.mode("overwrite").parquet(f"{folder}/delivered/batch={row.win}")
 
@@ -187,6 +189,11 @@ def burst_results(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     return memory.read("delivered", DELIVERED), memory.read("terms", TERMS)
 
 
+def burst_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Threshold changes of a burst job, as the burst log takes them."""
+    return Memory(spark, folder).read("changes", CHANGES)
+
+
 # --- the repost job -------------------------------------------------------------------------
 
 def repost_step(conf: BurstConf, folder: str):
