@@ -33,9 +33,10 @@ from emberline.llm.text import held_out
 from emberline.llm.wordhash import Powers, Words, bounded
 from emberline.sources.scratch import stage
 
-MAX_POSITIVE = 6_000
-MAX_UNLABELLED = 18_000
-BITS = 22
+FOLDS = 5
+MAX_POSITIVE = 4_000
+MAX_UNLABELLED = 8_000
+BITS = 32
 MAX_FEATURES = 4096
 CERTAIN = 5.0  # standard deviations by which a feature must exceed its count by chance
 STEPS = 400
@@ -94,10 +95,10 @@ def fit(rows: list[tuple[np.ndarray, bool]], prior: float) -> Model:
     none = Model(np.zeros(0, np.int64), np.zeros(0), 0.0, 1.0)
     if not toxic.any() or toxic.all():
         return none
-    owner = np.repeat(np.arange(len(fitted)), [len(r[0]) for r in fitted])
-    slot = np.concatenate([r[0] for r in fitted])
-    in_p = np.bincount(slot[toxic[owner]], minlength=1 << BITS)
-    in_u = np.bincount(slot[~toxic[owner]], minlength=1 << BITS)
+    owner = np.repeat(np.arange(len(fitted), dtype=np.int32), [len(r[0]) for r in fitted])
+    distinct, slot = np.unique(np.concatenate([r[0] for r in fitted]), return_inverse=True)
+    in_p = np.bincount(slot[toxic[owner]], minlength=len(distinct))
+    in_u = np.bincount(slot[~toxic[owner]], minlength=len(distinct))
     n_p, n_u = toxic.sum(), (~toxic).sum()
     # The most telling features: log odds against the unlabelled rid of their hidden positives.
     share_p, share_u = in_p / n_p, in_u / n_u
@@ -105,11 +106,12 @@ def fit(rows: list[tuple[np.ndarray, bool]], prior: float) -> Model:
     gain = share_p * np.log((share_p + 1e-6) / (rest + 0.3 / n_u))
     expected = n_p * np.maximum(rest, 1 / n_u)
     gain[(in_p < 3) | (in_p - expected < CERTAIN * np.sqrt(expected + 0.5))] = 0
-    slots = np.sort(np.argsort(-gain, kind="stable")[: min(MAX_FEATURES, int((gain > 0).sum()))])
-    if not len(slots):
+    chosen = np.sort(np.argsort(-gain, kind="stable")[: min(MAX_FEATURES, int((gain > 0).sum()))])
+    if not len(chosen):
         return none
-    at = np.minimum(np.searchsorted(slots, slot), len(slots) - 1)
-    known = slots[at] == slot
+    slots = distinct[chosen].astype(np.int64)
+    at = np.minimum(np.searchsorted(chosen, slot), len(chosen) - 1)
+    known = chosen[at] == slot
     owner, column = owner[known], at[known]
     weights, bias = np.zeros(len(slots)), 0.0
     first, second, moments = np.zeros(len(slots) + 1), np.zeros(len(slots) + 1), (0.9, 0.999)
@@ -157,7 +159,7 @@ def _threshold(model: Model, rows: list[tuple[np.ndarray, bool]], prior: float)
     return float(cuts[int(np.argmax(room))])
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Model:
     """Fit on documents outside the held-out fold; labels of the fold are dropped before anything is read."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter(F.col("_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("_id"), folds))
@@ -173,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
         marked.filter(test).select("doc_id", F.col("toxic").isNotNull().alias("confirmed")).orderBy(*order).limit(most)
         for test, most in ((F.col("toxic").isNotNull(), MAX_POSITIVE), (F.col("toxic").isNull(), MAX_UNLABELLED))
     ]
-    chosen = stage(chosen[0].unionByName(chosen[1]), "toxic-sample").withColumnRenamed("doc_id", "_id")
+    sample = stage(chosen[0].unionByName(chosen[1]), "toxic-sample").withColumnRenamed("doc_id", "_id")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -181,16 +183,26 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
             for part in bounded(batch):
                 owner, slot = features(part.column("text").to_pylist(), powers)
                 bounds = np.searchsorted(owner, np.arange(part.num_rows + 1))
-                found = [slot[a:b].astype("<i4").tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+                found = [slot[a:b].astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("confirmed"), pa.array(found, pa.binary())], ["doc_id", "confirmed", "slots"]
                 )
 
-    sample = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    rows = sample.select("doc_id", "confirmed", "text").mapInArrow(extract, "doc_id bigint, confirmed boolean, slots binary")
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    rows = texts.select("doc_id", "confirmed", "text").mapInArrow(extract, "doc_id bigint, confirmed boolean, slots binary")
     once = rows.groupBy("doc_id").agg(F.first("confirmed").alias("confirmed"), F.max("slots").alias("slots"))
-    collected = sorted(once.collect(), key=lambda r: r.doc_id)  # at most MAX_POSITIVE + MAX_UNLABELLED rows
-    return fit([(np.frombuffer(r.slots, "<i4").astype(np.int64), r.confirmed) for r in collected], prior)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted((row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns])), key=lambda r: r[0])
+        model = fit([(np.frombuffer(slots, "<u4"), confirmed) for _, confirmed, slots in held], prior)
+        row = {"slots": model.slots.astype("<i8").tobytes(), "weights": model.weights.astype("<f8").tobytes(), "threshold": model.threshold}
+        yield pa.RecordBatch.from_pylist([row], pa.schema([("slots", pa.binary()), ("weights", pa.binary()), ("threshold", pa.float64())]))
+
+    # The bounded sample meets in one task; only the model, at most MAX_FEATURES numbers, comes to the driver.
+    row = once.coalesce(1).mapInArrow(learn, "slots binary, weights binary, threshold double").first()
+    if row is None:
+        return fit([], prior)
+    return Model(np.frombuffer(row.slots, "<i8"), np.frombuffer(row.weights, "<f8"), row.threshold, 1.0)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -215,7 +227,7 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
     scored = score(docs.select("doc_id", F.col("text").cast("string").alias("text")), model)
     return scored.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+        "doc_id", held_out(F.col("doc_id"), FOLDS).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
 
