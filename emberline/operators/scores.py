@@ -41,14 +41,14 @@ SCORERS: dict[str, Callable[[], Column]] = {
 
 def _cell_sums(cells: DataFrame, place: Column, by: list[str], is_last: Column) -> DataFrame:
     a = F.ln(F.col("c") + 1)
+    # One number of the window's array goes on to the sums, not the array.
+    narrow = cells.withColumn("i", place).withColumn("a", a).withColumn("l", F.get("logs", F.col("i"))).drop("logs")
     return (
-        cells.withColumn("i", place)
-        .withColumn("a", a)
-        .groupBy(*by)
+        narrow.groupBy(*by)
         .agg(
             F.sum("a").alias("sum_a"),
             F.sum(F.col("i") * F.col("a")).alias("sum_ia"),
-            F.sum(F.col("a") * (F.col("a") - 2 * F.get("logs", F.col("i")))).alias("sum_aal"),
+            F.sum(F.col("a") * (F.col("a") - 2 * F.col("l"))).alias("sum_aal"),
             F.sum("c").alias("sum_n"),
             F.sum(F.when(is_last, F.col("c")).otherwise(0)).alias("last_n"),
         )
@@ -113,7 +113,7 @@ def undated_scores(counts: DataFrame, as_of: int, memory: int, scorer: str = "re
         ).alias("totals"),
         vocab.scalar().alias("vocab"),
     )
-    table = F.broadcast(regression_constants(lengths.drop("n")))
+    table = broadcast_if_bytes(regression_constants(lengths.drop("n")), memory, 8 * memory + 128)
     sums = _cell_sums(cells.join(table.select("n", "logs"), "n"), F.col("place"), ["token", "n"], F.col("is_last"))
     return sums.join(table.select("n", "sum_il", "sum_ll"), "n").select("token", SCORERS[scorer]().alias("score"))
 
@@ -194,9 +194,21 @@ def value_at(df: DataFrame, column: str, rank: int, buckets: int = 1024) -> floa
     """
     value = F.col(column)
     rows = df.filter(value.isNotNull())
+    # Infinities and NaN (the largest) have no place in a histogram: they are counted apart.
+    infinite = float("inf")
+    finite = (value > -infinite) & (value < infinite)
+    below, between = rows.agg(F.count_if(value == -infinite), F.count_if(finite)).first()
+    if rank < below:
+        return -infinite
+    rank -= below
+    if rank >= between:
+        above = rows.agg(F.count_if(value == infinite)).first()[0]
+        return infinite if rank - between < above else float("nan")
+    rows = rows.filter(finite)
     low, high = rows.agg(F.min(value), F.max(value)).first()
     while low < high:
-        place = F.least(F.floor((value - low) / ((high - low) / buckets)), F.lit(buckets - 1))
+        width = high / buckets - low / buckets
+        place = F.least(F.floor((value / buckets - low / buckets) / width * buckets), F.lit(buckets - 1))
         inside = rows.filter(value.between(low, high)).groupBy(place.alias("b"))
         for bucket in sorted(inside.agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).collect()):
             if rank < bucket.n:

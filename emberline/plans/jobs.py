@@ -96,14 +96,14 @@ def topical_burst_summary(posts: DataFrame, topics: DataFrame, conf: BurstConf,
 
 def open_domain_summary(posts: DataFrame, conf: BurstConf) -> DataFrame:
     """The summary without topics."""
-    kept = summary_filters(posts, conf)
+    kept = stage(summary_filters(posts, conf), "kept")
     chosen = summarise(kept, summary_terms(kept, conf, conf.terms_per_window), conf)
     return kept.join(chosen, "post_id").select(F.lit(OPEN_DOMAIN).alias("topic"), "win", "post_id", "text")
 
 
 def gated_burst_posts(posts: DataFrame, topics: DataFrame, ids: DataFrame, conf: BurstConf) -> DataFrame:
     """``(win, post_id)``: candidates that contain a bursting term, with the first such window."""
-    kept = keyword_match(filter_valid(filter_lang(posts, conf.lang)), topics)
+    kept = stage(keyword_match(filter_valid(filter_lang(posts, conf.lang)), topics), "kept")
     terms = summary_terms(kept, conf, None)
     gated = gate_posts(kept, ids).filter(F.size(post_tokens("summary")) >= conf.min_tokens)
     return first_windows(gated, terms, conf).select("win", "post_id")

@@ -14,7 +14,9 @@ FOLDER = "/root/testdata/sf0.001"
 QUICK = (
     "read_posts read_topics filter_lang keyword_match topic_match topic_score tokenize extract_entities bigrams jaccard "
     "clean_tokens topic_terms term_user_counts minor_window_merge slice_profile vocab_size top_hashtags top_terms "
-    "window_stats topic_assign expand_topics topic_runs validate_run validate_run_daily stream_term_counts"
+    "window_stats topic_assign expand_topics topic_runs validate_run validate_run_daily stream_term_counts "
+    "topic_match_many topic_rows model_join repost_escalation repost_escalation_long validate_run_caps read_keywords "
+    "parse_topic_markup topic_corpus_filter"
 ).split()
 NAMES = sorted(entry.queries()) if os.environ.get("EMBERLINE_ALL") else QUICK
 

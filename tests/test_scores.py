@@ -100,3 +100,10 @@ def test_levels_are_the_thresholds_passed(spark, base):
     for r in folds.burst_levels(frame, base).collect():
         for k in range(100):
             assert (r.low <= k < r.high) == (values[r.step] > base ** (0.75**k)), (values[r.step], k)
+
+
+def test_ranks_of_infinite_scores(spark):
+    values = [3.0, float("inf"), -1.0, float("-inf"), float("nan"), 2.0, None]
+    frame = spark.createDataFrame([(v,) for v in values], "score double")
+    got = [S.value_at(frame, "score", rank) for rank in range(6)]
+    assert got[:5] == [float("-inf"), -1.0, 2.0, 3.0, float("inf")] and got[5] != got[5]
