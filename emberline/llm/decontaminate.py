@@ -285,6 +285,6 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in: int = 20) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
     bad = stage(contamination(docs, benchmark, size, one_in).filter("contaminated"), "contaminated")
-    bad = bad.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
+    bad = bad.select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__bad_id")) & text_key().eqNullSafe(F.col("__bad_key"))
     return docs.join(bad, same, "left_anti")

@@ -48,16 +48,10 @@ def open_range(uri: str, start: int = 0, end: int | None = None, chunk: int = 1
 
 
 def mapped(uri: str):
-    """The file as a memory-mapped array of bytes; files that aren't on a mounted disk are fetched once per worker."""
-    import tempfile
-
+    """The file as an array of bytes: memory-mapped where the storage is mounted, else read."""
     import numpy as np
 
     system, path = _filesystem(uri)
     if system.type_name != "local":
-        with tempfile.NamedTemporaryFile(delete=False) as copy:
-            copy.writelines(open_range(uri))
-        path = copy.name
-    if not os.path.getsize(path):
-        return np.zeros(0, np.uint8)
-    return np.memmap(path, np.uint8, "r")
+        return np.frombuffer(read_file(uri), np.uint8)
+    return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)

@@ -10,7 +10,7 @@ source's cut, and no text is ever shuffled.
 
 Defined cases: a null or blank text has size 0 and is taken with 0 words; a null source is a source of
 its own, sorted last; a null id draws one fixed number; rows that agree in id and size are taken or left
-together; an empty table gives an empty table; input columns named like results are replaced.
+together; an empty table gives an empty table; `mix` keeps all columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -148,6 +148,6 @@ def mix_digest(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of ``docs``."""
     plan = mixing_plan(slim(docs), weights, max_epochs)
-    kept = take(with_keys(docs), plan).filter(F.col("copies") > 0)
-    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_time")
-    return kept.select(*[F.col(c) for c in docs.columns if c not in ADDED], times).drop("_time")
+    whole = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = take(with_keys(whole), plan).filter(F.col("copies") > 0)
+    return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -235,11 +235,12 @@ def deduplicate(docs: DataFrame, width: int = 3) -> DataFrame:
     kept = groups(docs, width).filter(
         F.col("doc_id").eqNullSafe(F.col("component.doc_id")) & (F.col("text_key") == F.col("component.text_key"))
     )
-    kept = stage(kept.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).count(), "kept-documents")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
-    once = docs.join(kept.filter("count = 1"), same, "left_semi")
-    repeated = kept.filter("count > 1")
+    kept = kept.groupBy(F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_key")).agg(F.count("*").alias("__rows"))
+    kept = stage(kept, "kept-documents")
+    same = F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (text_key() == F.col("__kept_key"))
+    once = docs.join(kept.filter("__rows = 1"), same, "left_semi")
+    repeated = kept.filter("__rows > 1")
     if repeated.isEmpty():
         return once
-    rows = docs.join(repeated, same, "left_semi").withColumn("_key", text_key()).dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return once.unionByName(rows)
+    rows = docs.join(repeated, same, "left_semi").withColumn("__kept_key", text_key())
+    return once.unionByName(rows.dropDuplicates(["doc_id", "__kept_key"]).drop("__kept_key"))

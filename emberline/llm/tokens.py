@@ -238,12 +238,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
         from pyspark import TaskContext
 
         part, file, held, size, rows = TaskContext.get().partitionId(), 0, [], 0, []
+        attempt = TaskContext.get().taskAttemptId()  # the manifest names the files of the attempt that counted
 
         def flush():
             ids = np.array([NO_ID if h[0] is None else h[0] for h in held], "<i8")
             counts = np.array([h[1] for h in held], "<i8")
             head = struct.pack("<QQQ", len(held), int(counts.sum()), sum(len(h[2]) for h in held))
-            path = f"{folder}/part-{part:05d}-{file:05d}.tok"
+            path = f"{folder}/part-{part:05d}-{file:05d}-{attempt}.tok"
             write_file(path, [MAGIC, head, ids.tobytes(), counts.tobytes(), *[h[2] for h in held], *[h[3] for h in held]])
             rows.append((part, file, path, len(held), int(counts.sum())))
 

@@ -157,10 +157,12 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000) -> Da
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number, members, size, lines, done = TaskContext.get().partitionId(), 0, [], 0, [], []
+        number, members, size, lines, done = 0, [], 0, [], []
+        # Named after the attempt: a run and its archive always come from the same one.
+        prefix = f"{folder}/part-{TaskContext.get().partitionId():05d}-{TaskContext.get().taskAttemptId()}"
 
         def flush():
-            name = f"{folder}/part-{part:05d}-{number:05d}"
+            name = f"{prefix}-{number:05d}"
             write_file(f"{name}.warc.gz", members)
             write_run(f"{name}.run", sorted(lines))
             done.append((f"{name}.run", len(lines)))
@@ -170,7 +172,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000) -> Da
                 page_id, url, payload, n, digest, refers_to = row
                 record = _record(page_id, url, payload or b"", n, digest, refers_to)
                 kind = "response" if refers_to is None else "revisit"
-                file = f"{folder}/part-{part:05d}-{number:05d}.warc.gz"
+                file = f"{prefix}-{number:05d}.warc.gz"
                 lines.append(_line(url, page_id, kind, digest, file, size, len(record)))
                 members.append(record)
                 size += len(record)

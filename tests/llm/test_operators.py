@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from emberline.llm import decontaminate, lm, mixing, pii, quality, simhash, suffix_dedup, tokens, toxicity, warc
@@ -81,8 +82,9 @@ def test_mixing(spark, documents, odd):
     assert all(abs(taken[s] - want[s]) <= largest for s in sizes)
     again = mixing.mix_digest(docs.repartition(2))
     assert Counter(map(tuple, found)) == Counter(map(tuple, again.collect()))
-    mixed = mixing.mix(docs)
-    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in found)
+    wide = docs.withColumns({"size": F.lit("x"), "key": F.lit(1), "copies": F.lit(2), "_id": F.lit(3)})
+    mixed = mixing.mix(wide)
+    assert mixed.columns == wide.columns and mixed.count() == sum(r.copies for r in found)
 
 
 @pytest.mark.parametrize("dense", [8192, 3])
