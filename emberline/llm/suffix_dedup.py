@@ -36,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberline.llm.files import mapped, read_file, write_file
-from emberline.llm.wordhash import Powers, mixed, prefix_sums, stretch_hashes, worker_memory
+from emberline.llm.wordhash import Powers, bounded, mixed, prefix_sums, stretch_hashes, worker_memory
 from emberline.sources.scratch import scratch_path, stage
 
 LENGTH = 400
 BEGINNING = 200
-PIECE = 1 << 20
+PIECE = 1 << 19
 BATCHES = 4
 PLACE_BITS = np.uint64(24)
 
@@ -104,9 +104,8 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], lis
     A longer text comes alone, cut into pieces that overlap by LENGTH - 1 bytes.
     """
     rows, owners, parts, first, size = [], [], [], [], 0
-    for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for row in zip(*columns):
+    for part in (part for batch in batches for part in bounded(batch)):
+        for row in zip(*[c.to_pylist() for c in part.columns]):
             text = (row[-1] or "").encode()
             if rows and size + len(text) > PIECE:
                 yield rows, owners, parts, first
