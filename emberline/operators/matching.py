@@ -51,7 +51,7 @@ def _relevance(hits: Column, weight: Column, terms: Column, length: Column) -> C
 def topic_scores(posts: DataFrame, topics: DataFrame, op: str = "or", keep: tuple[str, ...] | None = None) -> DataFrame:
     """One row per post and matching topic with its ``score``.
 
-    Every distinct unit of a post looks its topics up in a table by term, which is broadcast while it is
+    Every distinct unit of a post that may be a term looks its topics up in a table by term, which is broadcast while it is
     small.  A row found that way carries the topic's terms, so the score is worked out in the row; of the
     rows of one post and topic, the one of the first unit found is kept.  No post is aggregated: the same
     plan serves batches and streams, for any number of terms.
@@ -66,7 +66,8 @@ def topic_scores(posts: DataFrame, topics: DataFrame, op: str = "or", keep: tupl
     ).first()
     lookup = broadcast_if_bytes(per_term, 1, facts.bytes)
     framed = _with_units(posts, sorted(set(facts.lengths) - {1}))
-    units = framed.select(*keep, "units", "length", F.explode(F.array_distinct("units")).alias("__term"))
+    asked = framed.withColumn("units", F.filter("units", _maybe_in(per_term, facts.rows)))
+    units = asked.select(*keep, "units", "length", F.explode(F.array_distinct("units")).alias("__term"))
     found = units.join(lookup, "__term").withColumn("own", F.array_intersect("units", "terms"))
     first = found.filter(F.element_at("own", 1) == F.col("__term"))
     if op == "and":
@@ -78,6 +79,19 @@ def topic_scores(posts: DataFrame, topics: DataFrame, op: str = "or", keep: tupl
     return first.select(*keep, "topic_id", score.alias("score"))
 
 
+def _maybe_in(per_term: DataFrame, rows: int):
+    """A test that every term passes and few other strings do: one byte per hash slot, as a literal.
+
+    It spares exploding the units that no topic asks for.  The literal has 16 slots per term, 16 MB at most.
+    """
+    slots = min(1 << max(14, (16 * rows).bit_length()), 1 << 24)
+    slot = lambda term: F.pmod(F.xxhash64(term), F.lit(slots)).cast("int")
+    table = bytearray(slots)
+    for row in per_term.select(slot("__term").alias("slot")).distinct().toLocalIterator():
+        table[row.slot] = 1
+    return lambda term: F.substring(F.lit(bytes(table)), slot(term) + 1, F.lit(1)) == F.lit(b"\x01")
+
+
 def topic_match(posts: DataFrame, topics: DataFrame, threshold: float = 0.0, op: str = "or") -> DataFrame:
     """Posts and the topics they score strictly above ``threshold`` for."""
     return topic_scores(posts, topics, op).filter(F.col("score") > threshold)
