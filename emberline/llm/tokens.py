@@ -63,8 +63,9 @@ def pieces(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
 class WordEncoder:
     """Encodes texts piece by piece; the ids of pieces seen before are found by a 64-bit hash.
 
-    The memory is a sorted array of hashes with the pieces' ids in one pool, emptied when it holds
-    ``CACHED_WORDS``. Texts with white space outside ASCII are encoded whole.
+    The memory is a sorted array of hashes with the pieces' ids in one pool. Where new pieces would take it over
+    ``CACHED_WORDS`` it is emptied first, and then holds all pieces of the texts at hand, however many they are.
+    Texts with white space outside ASCII are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -89,8 +90,6 @@ class WordEncoder:
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         """Adds pieces that aren't known; keys are ascending."""
-        if len(self.keys) + len(keys) > CACHED_WORDS:
-            self.forget()
         word = np.array([_WORD.match(t) is not None for t in texts], bool)
         codes: list[np.ndarray] = [np.zeros(0, "<u2")] * len(texts)
         words = np.flatnonzero(word)
@@ -124,16 +123,18 @@ class WordEncoder:
         cuts, ends, owner = cuts[filled], ends[filled], owner[filled]
         hashes = stretch_hashes(prefix_sums(data, self.powers), cuts, ends, self.powers)
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        for _ in range(2):  # a second time if the memory was emptied
-            at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-            known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-            new = np.flatnonzero(~known)
-            if not len(new):
-                break
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        new = np.flatnonzero(~known)
+        if len(new):
+            if len(self.keys) + len(new) > CACHED_WORDS:
+                self.forget()
+                new = np.arange(len(keys))
             buffer = data.tobytes()
             self._learn(keys[new], [buffer[a:b].decode() for a, b in zip(cuts[first[new]].tolist(), ends[first[new]].tolist())])
-        else:
             at = np.searchsorted(self.keys, keys)
+            if not (self.keys[at] == keys).all():
+                raise RuntimeError("a piece of the texts is missing in the memory")
         size, start = self.sizes[at][back], self.starts[at][back]
         offset = np.cumsum(size) - size
         ids = self.pool[np.arange(int(size.sum())) + np.repeat(start - offset, size)]

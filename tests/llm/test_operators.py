@@ -204,6 +204,16 @@ def test_tokens_of_odd_pieces():
             assert own.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_tokens_of_more_pieces_than_are_remembered(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 4)
+    encoder = tokens.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), 0)
+    for text in ("red green", "red green blue black white grey pink", "pink red", "green"):
+        ids, counts = encoder.encode([text])
+        assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 0] and counts.tolist() == [len(ids)]
+
+
 def test_packing_round_trip():
     ranks = np.array([0, 255, 256, 65_535, 65_536, 1 << 24, (1 << 32) - 1, 5], "<u4")
     counts = np.array([3, 0, 1, 4])
