@@ -60,6 +60,27 @@ def test_private_patterns(table):
         assert ([r.n_email, r.n_ip, r.n_card, r.n_phone], r.base_sha256) == brute.private(dict(made)[r.doc_id])[:2]
 
 
+def test_private_chain_of_overlaps(spark):
+    def candidate(start, end):
+        return {"start": start, "end": end} | {name: 0 for name in pii.FEATURES} | {"length": end - start}
+
+    fields = "start int, end int, " + ", ".join(f"{name} int" for name in pii.FEATURES)
+    schema = f"sure array<struct<start:int,kind_no:int,end:int>>, candidates array<struct<{fields.replace(' int', ':int')}>>"
+    found = spark.createDataFrame([([], [candidate(0, 6), candidate(5, 12), candidate(11, 19)])], schema)
+    found = found.withColumn("between", F.slice("candidates", 1, 0))
+    model = pii.Model([(pii.FEATURES.index("length"), 6, 1.0, (pii.FEATURES.index("length"), 7, 2.0, 3.0))], [1.0], {0: 0.5})
+    added = pii.with_spans(found, model).first().added  # the last is best and takes the middle one out, so the first is free
+    assert sorted((s.start, s.end) for s in added) == [(0, 6), (11, 19)]
+
+
+def test_private_data_beside_a_sure_span(table):
+    made = [(1, "10.0.0.1 555-123-4567"), (2, "555-123-4567 10.0.0.1"), (3, "10.0.0.1")]
+    phones = pii.Model([1.0], [1.0], {pii.KINDS.index("phone"): 0.5})
+    found = pii.with_spans(pii.with_candidates(table(made)), phones)
+    got = {r.doc_id: [(s.start, s.end) for s in r.added] for r in found.select("doc_id", "added").collect()}
+    assert got == {1: [(9, 21)], 2: [(0, 12)], 3: []}
+
+
 def test_redact(table):
     made = [(1, "mail a@b.co now"), (2, None), (3, "none")]
     assert rows_of(pii.redact(table(made)), "doc_id", "text") == Counter([(1, "mail [email] now"), (2, None), (3, "none")])
