@@ -41,7 +41,6 @@ BEGIN, END = np.uint64(1), np.uint64(2)
 BUCKET_CHARS = 24 << 20
 TASK_PAIRS = 6 << 20
 LOW48 = np.uint64((1 << 48) - 1)
-SPREAD = 8
 ROW = "kind string, bucket int, body binary"
 
 
@@ -57,8 +56,8 @@ def token_stream(texts: list[str | None], powers: Powers) -> tuple[np.ndarray, n
 
 
 def pair_bucket(before: np.ndarray, after: np.ndarray, buckets: int) -> np.ndarray:
-    """By the first word, moved by three bits of the second."""
-    return (((before >> np.uint64(20)) + (after >> np.uint64(45)) % np.uint64(SPREAD)) % np.uint64(buckets)).astype(np.int64)
+    """By a hash of both words, so the followers of one word are dealt over all buckets."""
+    return ((pair_key(before, after) >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
 
 
 def word_bucket(word: np.ndarray, buckets: int) -> np.ndarray:

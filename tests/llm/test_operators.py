@@ -132,6 +132,12 @@ def test_language_model(table, rows, monkeypatch):
         assert got[:4] == want[r.doc_id][:4] and np.allclose(got[4:], want[r.doc_id][4:], rtol=1e-9)
 
 
+def test_followers_of_one_word_use_all_buckets():
+    after = np.random.default_rng(1).integers(0, 1 << 48, 64_000, dtype=np.uint64)
+    held = np.bincount(lm.pair_bucket(np.full(len(after), 12345, np.uint64), after, 64), minlength=64)
+    assert held.min() > 800 and held.max() < 1_200
+
+
 def test_language_model_beats_unigrams(table, documents):
     held = [r for r in lm.score_digest(table(documents)).collect() if r.held_out]
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
