@@ -15,7 +15,7 @@ with c counts, n(w) the number of distinct words before w, D the three discounts
 counts of counts, and g the mass they free. A word never followed falls back to q alone, an unknown word to
 the last term. Words are hashed to 64 bits, followers to 48 of them.
 
-The order is two: three would write and shuffle over four times the input.
+The order is two: three is expected to write and shuffle over four times the input, which was not measured.
 
 Defined cases: null and empty texts are the end token alone; a null id is text "null" for the fold; repeated
 rows count repeatedly; with nothing to learn from, every token has probability 1 / (V + 1) = 1; an empty
