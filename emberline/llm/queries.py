@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import decontaminate, lm, mixing, pii, quality, simhash, suffix_dedup, tokens, toxicity, warc
+from emberline.llm import decontaminate, lm, mixing, negatives, pii, quality, secrets, simhash, suffix_dedup, tokens, toxicity, warc, whitening
 from emberline.llm.oracles import ORACLES
 from emberline.sources.tables import table
 
@@ -51,6 +51,18 @@ def op5_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score_digest(table(spark, folder, "documents"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.negatives_digest(table(spark, folder, "embeddings"))
+
+
+def op13_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secrets_digest(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_tokens,
         op10_decontamination,
+        op11_whitening,
+        op12_hard_negatives,
+        op13_secrets,
     )
 }
 
