@@ -186,7 +186,8 @@ class Whitening:
 
     def project(self, x: np.ndarray) -> np.ndarray:
         """Whitened coordinates, rows x components."""
-        return (x.astype(np.float64) - self.sums / self.n) @ self.vectors.T / self.scales()
+        mean = self.sums.astype(np.float64) / self.n
+        return (x.astype(np.float64) - mean) @ self.vectors.T / self.scales()
 
 
 def _sums(fit_list: DataFrame, dims: int) -> tuple[int, np.ndarray]:
