@@ -1005,6 +1005,84 @@ def select_window(delivered: str) -> tuple[str, ...]:
     )
 
 
+# Every half-day window of the burst job: scores by dense regression, thresholds and deliveries walked window by window.
+BURST_WINDOWS = (
+    *PREPARED,
+    "half AS (SELECT *, slot // 12 AS own FROM prepared)",
+    "bwins AS (SELECT unnest(range(min(own) + 2, max(own))) AS win FROM half)",
+    """bcells AS (SELECT topic_id, own AS slot, token, count(DISTINCT user_id) AS n
+         FROM (SELECT topic_id, own, user_id, unnest(summary) AS token FROM half) GROUP BY ALL)""",
+    "btotal AS (SELECT topic_id, slot, sum(n) AS s FROM bcells GROUP BY ALL)",
+    "bpairs AS (SELECT DISTINCT topic_id, win, token FROM bcells JOIN bwins ON slot BETWEEN win - 2 AND win)",
+    "bseen AS (SELECT *, count(*) OVER (PARTITION BY topic_id, win) AS v FROM bpairs)",
+    """bseries AS (SELECT h.topic_id, h.win, h.token, i, ln((coalesce(c.n, 0) + 1) / (coalesce(t.s, 0) + v)) AS y
+         FROM bseen h, (SELECT unnest([0, 1, 2]) AS i)
+         LEFT JOIN bcells c ON c.topic_id = h.topic_id AND c.token = h.token AND c.slot = win - 2 + i
+         LEFT JOIN btotal t ON t.topic_id = h.topic_id AND t.slot = win - 2 + i)""",
+    """bscores AS MATERIALIZED (SELECT topic_id, win, token,
+         abs(CASE WHEN regr_syy(y, i) > 1e-11 THEN regr_slope(y, i) * regr_r2(y, i) ELSE 0 END) AS score
+         FROM bseries GROUP BY ALL)""",
+    """steps AS MATERIALIZED (SELECT topic_id, win, row_number() OVER (PARTITION BY topic_id ORDER BY win) AS step,
+         list(score) FILTER (length(token) >= 4) AS found FROM bscores GROUP BY topic_id, win)""",
+    """walk AS (
+         SELECT DISTINCT topic_id, CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS win, CAST(0 AS BIGINT) AS bursts,
+                CAST(0.2 AS DOUBLE) AS before, CAST(0.2 AS DOUBLE) AS after_, CAST(0 AS BIGINT) AS quiet FROM steps
+         UNION ALL
+         SELECT topic_id, step, win, n, thr,
+                CASE WHEN n > 10 THEN pow(thr, 0.75)
+                     WHEN quiet_now >= 9 AND step > 9 AND pow(thr, 1 / 0.75) >= 0.2 - 1e-12 THEN pow(thr, 1 / 0.75) ELSE thr END, quiet_now
+         FROM (SELECT *, CASE WHEN n = 0 THEN quiet + 1 ELSE 0 END AS quiet_now
+               FROM (SELECT s.topic_id, s.step, s.win, w.after_ AS thr, w.quiet,
+                            coalesce(len(list_filter(s.found, lambda x: x > w.after_)), 0) AS n
+                     FROM walk w JOIN steps s ON s.topic_id = w.topic_id AND s.step = w.step + 1)))""",
+    """bterms AS MATERIALIZED (SELECT topic_id, win, token, score, before AS threshold FROM bscores JOIN walk USING (topic_id, win)
+         WHERE score > before AND length(token) >= 4
+         QUALIFY row_number() OVER (PARTITION BY topic_id, win ORDER BY round(score, 9) DESC, token) <= 100)""",
+)
+BURST_DELIVERIES = (
+    *BURST_WINDOWS,
+    """bhits AS (SELECT topic_id, win, post_id, any_value(created_at) AS created_at, any_value(list_distinct(summary)) AS ts, count(*) AS hits
+         FROM half JOIN bterms USING (topic_id) WHERE own = win AND contains(lower(text), token) GROUP BY ALL)""",
+    """bbest AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY topic_id, win, created_at, post_id) AS pos FROM bhits
+         QUALIFY rank() OVER (PARTITION BY topic_id, win ORDER BY hits DESC) = 1)""",
+    "bflat AS (SELECT topic_id, win, pos, len(ts) AS size, unnest(ts) AS token FROM bbest)",
+    """bnear AS (SELECT a.pos, b.pos AS other, a.win = b.win AS together, count(*) / (a.size + b.size - count(*)) AS sim
+         FROM bflat a JOIN bflat b ON a.token = b.token AND a.topic_id = b.topic_id AND b.pos < a.pos
+         GROUP BY a.pos, b.pos, a.win = b.win, a.size, b.size)""",
+    """bcands AS (SELECT b.pos, any_value(topic_id) AS topic_id, any_value(win) AS win, any_value(post_id) AS post_id, any_value(hits) AS hits,
+         any_value(created_at) AS made, coalesce(max(sim) FILTER (together), 0) AS inside,
+         coalesce(list({'other': other, 'sim': sim}) FILTER (NOT together), []) AS others
+         FROM bbest b LEFT JOIN bnear n ON n.pos = b.pos GROUP BY b.pos)""",
+    """bsteps AS MATERIALIZED (SELECT topic_id, win, row_number() OVER (PARTITION BY topic_id ORDER BY win) AS step,
+         list({'pos': pos, 'post_id': post_id, 'hits': hits, 'made': made, 'inside': inside, 'others': others}) AS cands
+         FROM bcands GROUP BY topic_id, win)""",
+    """given AS (
+         SELECT DISTINCT topic_id, CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS win, CAST([] AS BIGINT[]) AS past,
+           CAST([] AS STRUCT(sim DOUBLE, made TIMESTAMP, post_id BIGINT, pos BIGINT, hits BIGINT)[]) AS chosen FROM bsteps
+         UNION ALL
+         SELECT topic_id, step, win, list_concat(past, list_transform(chosen, lambda c: c.pos)), chosen
+         FROM (SELECT s.topic_id, s.step, s.win, g.past,
+             list_slice(list_sort(list_filter(list_transform(s.cands, lambda c: {
+               'sim': CAST(greatest(c.inside, coalesce(list_max(list_transform(list_filter(c.others, lambda o: list_contains(g.past, o.other)), lambda o: o.sim)), 0)) AS DOUBLE),
+               'made': c.made, 'post_id': c.post_id, 'pos': c.pos, 'hits': c.hits}), lambda c: c.sim <= 0.5)), 1, 30) AS chosen
+           FROM given g JOIN bsteps s ON s.topic_id = g.topic_id AND s.step = g.step + 1))""",
+)
+oracle(
+    "burst_stream",
+    f"""SELECT topic_id, win, chosen.post_id AS post_id, chosen.hits AS hits, {r6('chosen.sim', 'sim')}
+        FROM (SELECT topic_id, win, unnest(chosen) AS chosen FROM given WHERE step > 0)""",
+    RECURSIVE,
+    *BURST_DELIVERIES,
+)
+oracle("burst_stream_terms", f"SELECT topic_id, win, token, {r6('score')}, {r6('threshold')} FROM bterms", RECURSIVE, *BURST_WINDOWS)
+oracle(
+    "burst_stream_thresholds",
+    f"""SELECT topic_id, bursts AS passing, {r6('before', 'old_threshold')}, {r6('after_', 'new_threshold')}, win * {12 * H * 1000} AS epoch_ms
+        FROM walk WHERE step > 0 AND before <> after_""",
+    RECURSIVE,
+    *BURST_WINDOWS,
+)
+
 for _name, _ids in (("stream_select", "SELECT doc_id FROM labels WHERE quality > 1"), ("stream_novelty_memory", "SELECT doc_id FROM labels WHERE quality = 1")):
     oracle(
         _name,

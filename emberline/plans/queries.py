@@ -1090,25 +1090,23 @@ def _(spark, folder):
     return run_stream(PREP.stream_counts(rows, CONF, "12 hours", keys=("lang",))).select("lang", epoch("slot"), "token", "n")
 
 
-def history_folder(spark, folder) -> str:
-    """Runs the counting query over all posts; closed slots end up in the term history."""
+def history(spark, folder) -> DataFrame:
+    """Runs the counting query over all posts; histories of closed slots are its keyed state."""
     memory = scratch_path(spark, "history")
     kept_stream = P.summary_filters(post_stream(spark, folder), CONF).withColumn("tokens", X.post_tokens("summary"))
-    counts = PREP.stream_counts(kept_stream, CONF, "2 hours", keys=())
-    run = STREAM.start(counts, STREAM.append_counts(memory), f"{memory}/checkpoint", {"availableNow": True})
-    run.awaitTermination()
-    return memory
+    counts = PREP.stream_counts(kept_stream, CONF, "2 hours", keys=(), timed=True)
+    STREAM.keep_histories(counts, 51, CONF.width, memory, {"availableNow": True}).awaitTermination()
+    return STREAM.term_history(spark, memory, 51)
 
 
 @query("stream_term_history")
 def _(spark, folder):
-    return count_rows(STREAM.term_history(spark, history_folder(spark, folder), 51, keys=()))
+    return count_rows(history(spark, folder))
 
 
 @query("stream_burst_scores")
 def _(spark, folder):
-    history = STREAM.term_history(spark, history_folder(spark, folder), 51, keys=())
-    return score_rows(STREAM.score_closed(history, 24, keys=()))
+    return score_rows(STREAM.score_closed(history(spark, folder), 24, keys=()))
 
 
 STREAM_CONF = CONF.with_(width=12 * HOUR, minor=1, major=3, burst_threshold=0.2, per_window_max=30)
@@ -1126,6 +1124,20 @@ def _(spark, folder):
     return scored(delivered.select("topic_id", "win", "post_id", "hits", "sim"), "sim")
 
 
+@query("burst_stream_terms")
+def _(spark, folder):
+    """Bursting terms of every closed window, with the threshold in force."""
+    _, terms = STREAM.burst_results(spark, burst_folder(spark, folder))
+    return scored(terms.select("topic_id", "win", "token", "score", "threshold"), "score", "threshold")
+
+
+@query("burst_stream_thresholds")
+def _(spark, folder):
+    """Changes of the thresholds, as the threshold log takes them."""
+    changes = STREAM.burst_changes(spark, burst_folder(spark, folder))
+    return scored(sinks.threshold_log_rows(changes, STREAM_CONF.width), "old_threshold", "new_threshold")
+
+
 @query("repost_stream")
 def _(spark, folder):
     memory = scratch_path(spark, "reposts")

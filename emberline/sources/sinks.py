@@ -11,10 +11,16 @@ def one_line(text: Column) -> Column:
     return F.replace(text, F.lit("\n"), F.lit(" "))
 
 
-def selected_rows(selected: DataFrame, width: int) -> DataFrame:
+def write_parts(rows: DataFrame, path: str, by: str = "part") -> None:
+    """Headerless CSV with one file per value of ``by``; a value that is written again replaces its own file."""
+    writer = rows.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(by).csv(path, escape='"')
+
+
+def selected_rows(selected: DataFrame, width: int, *keep: str) -> DataFrame:
     """``topic, epoch_s, id, text`` of selected posts (columns ``topic, win, post_id, text``)."""
     return selected.select(
-        "topic", (F.col("win") * F.lit(width)).alias("epoch_s"), F.col("post_id").alias("id"), one_line(F.col("text")).alias("text")
+        "topic", (F.col("win") * F.lit(width)).alias("epoch_s"), F.col("post_id").alias("id"), one_line(F.col("text")).alias("text"), *keep
     )
 
 
@@ -52,20 +58,20 @@ def write_raw(lines: DataFrame, path: str) -> None:
     lines.select("value").write.option("compression", "gzip").text(path)
 
 
-def burst_log_rows(terms: DataFrame, width: int) -> DataFrame:
+def burst_log_rows(terms: DataFrame, width: int, *keep: str) -> DataFrame:
     """``topic, token, score, epoch_ms`` of bursting terms."""
-    return terms.select("topic_id", "token", "score", (F.col("win") * F.lit(width * 1000)).alias("epoch_ms"))
+    return terms.select("topic_id", "token", "score", (F.col("win") * F.lit(width * 1000)).alias("epoch_ms"), *keep)
 
 
 def write_burst_log(terms: DataFrame, path: str, width: int) -> None:
     burst_log_rows(terms, width).write.mode("append").csv(path, escape='"')
 
 
-def threshold_log_rows(changes: DataFrame, width: int, step: str = "win") -> DataFrame:
+def threshold_log_rows(changes: DataFrame, width: int, step: str = "win", *keep: str) -> DataFrame:
     """``topic, passing, old, new, epoch_ms`` of threshold changes; ``passing`` is the count that caused one."""
     passing = "bursts" if "bursts" in changes.columns else "posts"
     at = (F.col(step) * F.lit(width * 1000)).alias("epoch_ms")
-    return changes.select("topic_id", F.col(passing).alias("passing"), "old_threshold", "new_threshold", at)
+    return changes.select("topic_id", F.col(passing).alias("passing"), "old_threshold", "new_threshold", at, *keep)
 
 
 def write_threshold_log(changes: DataFrame, path: str, width: int, step: str = "win") -> None:
@@ -73,7 +79,7 @@ def write_threshold_log(changes: DataFrame, path: str, width: int, step: str = "
     threshold_log_rows(changes, width, step).write.mode("append").csv(path, escape='"')
 
 
-def delivery_payload(selected: DataFrame, base: str, client: str) -> DataFrame:
+def delivery_payload(selected: DataFrame, base: str, client: str, *keep: str) -> DataFrame:
     """Target address and JSON body per delivered post (``topic_id, post_id, sim, hits``)."""
     body = F.struct(
         F.col("post_id").alias("id"),
@@ -82,7 +88,7 @@ def delivery_payload(selected: DataFrame, base: str, client: str) -> DataFrame:
         F.col("hits").alias("tweetBurstCount"),
     )
     address = F.format_string("%s/tweet/%s/%s/%s", F.lit(base), F.col("topic_id"), F.col("post_id").cast("string"), F.lit(client))
-    return selected.select("topic_id", "post_id", address.alias("address"), F.to_json(body).alias("body"))
+    return selected.select("topic_id", "post_id", address.alias("address"), F.to_json(body).alias("body"), *keep)
 
 
 def write_run(run: DataFrame, path: str, header: bool = False) -> None:

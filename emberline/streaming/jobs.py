@@ -1,59 +1,82 @@
-"""Streaming jobs: one query each, with tables in a shared folder as memory.
+"""Streaming jobs: chained queries with tables in a shared folder between them.
 
-Every micro-batch writes what it adds under its own batch number, replacing what a failed attempt
-left, and reads only earlier batches; a restarted query therefore repeats a batch without counting
-it twice.
+Every table is partitioned by the slot or window its rows belong to, and a step replaces the partitions it
+works out. A repeated batch therefore leaves the same files, the number of files depends on the calendar and not on
+the number of triggers, and a step reads only the slots within its windows, however old the job is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from emberline.conf import BurstConf
 from emberline.functions.timeslice import minor_slots, slot_of
 from emberline.operators.counts import term_counts
 from emberline.operators.filters import filter_term_length
-from emberline.operators.folds import burst_levels, fold_burst_levels, thresholds_at
+from emberline.operators.folds import burst_levels
 from emberline.operators.matching import keep_max_hits, window_hits
 from emberline.operators.scores import burst_scores
 from emberline.operators.select import best_terms, select_posts, with_similarity
 from emberline.operators.windows import slot_range
+from emberline.sources import sinks
 from emberline.sources.scratch import stage
 from emberline.streaming.prepare import repost_prepare, stream_prepare
-
-COUNTS = "topic_id string, slot bigint, token string, n bigint"
-PROGRESS = "first_slot bigint, last_slot bigint"
-POSTS = "topic_id string, post_id bigint, user_id bigint, created_at timestamp, text string, tokens array<string>, own bigint"
-LEVELS = "topic_id string, step bigint, low bigint, high bigint, n bigint"
-DELIVERED = "topic_id string, win bigint, post_id bigint, text string, tokens array<string>, sim double, hits bigint"
-TERMS = "topic_id string, win bigint, token string, score double"
+from emberline.streaming.state import decide_thresholds, keyed_state, read_histories, term_histories
+
+COUNTS = "topic_id string, token string, n bigint, slot bigint"
+PROGRESS = "first_slot bigint, last_slot bigint, closed bigint"
+POSTS = "topic_id string, post_id bigint, user_id bigint, created_at timestamp, text string, tokens array<string>, own bigint, batch bigint"
+LEVELS = "topic_id string, win bigint, low bigint, high bigint, n bigint"
+SCORES = "topic_id string, token string, score double, win bigint"
+DELIVERED = "topic_id string, post_id bigint, text string, tokens array<string>, sim double, hits bigint, win bigint"
+TERMS = "topic_id string, token string, score double, threshold double, win bigint"
 THRESHOLDS = "topic_id string, threshold double"
-CHANGES = "topic_id string, win bigint, bursts bigint, old_threshold double, new_threshold double"
+CHANGES = "topic_id string, bursts bigint, old_threshold double, new_threshold double, win bigint"
 
 
 class Memory:
-    """Tables of a streaming job, one folder per table and batch number."""
+    """Tables of a streaming job in a shared folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def append(self, name: str, batch: int, df: DataFrame, by: tuple[str, ...] = ()) -> None:
-        df.write.mode("overwrite").partitionBy(*by).parquet(f"{self.folder}/{name}/batch={batch}")
+    def append(self, name: str, batch: int, df: DataFrame) -> None:
+        """Rows that belong to a batch number; a repeated batch replaces its own."""
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
+
+    def replace(self, name: str, df: DataFrame, *by: str) -> None:
+        """Replaces those partitions of a table that ``df`` has rows for."""
+        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*by).parquet(f"{self.folder}/{name}")
+
+    def _there(self, path: str) -> bool:
+        """Whether a folder exists; answered by the storage itself, without listing anything."""
+        jvm = self.spark._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+    def _load(self, name: str, schema: str, paths: list[str]) -> DataFrame:
+        found = [path for path in paths if self._there(path)]
+        if not found:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.folder}/{name}").parquet(*found)
 
-    def read(self, name: str, schema: str, before: int | None = None, through: int | None = None) -> DataFrame:
-        spark, path = self.spark, f"{self.folder}/{name}"
-        try:
-            table = spark.read.schema(f"{schema}, batch bigint").parquet(path)
-        except Exception as error:  # no batch has written the table yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return spark.createDataFrame([], schema)
-        if before is not None:
-            table = table.filter(F.col("batch") < before)
-        if through is not None:
-            table = table.filter(F.col("batch") <= through)
-        return table.drop("batch")
+    def between(self, name: str, schema: str, by: str, low: int, high: int) -> DataFrame:
+        """The partitions of a range of slots; no other one is listed or read."""
+        return self._load(name, schema, [f"{self.folder}/{name}/{by}={slot}" for slot in range(low, high + 1)])
+
+    def all(self, name: str, schema: str) -> DataFrame:
+        return self._load(name, schema, [f"{self.folder}/{name}"])
+
+    def of_batch(self, name: str, schema: str, batch: int) -> DataFrame:
+        return self._load(name, schema, [f"{self.folder}/{name}/batch={batch}"])
+
+    def read(self, name: str, schema: str, before: int | None = None) -> DataFrame:
+        table = self.all(name, f"{schema}, batch bigint")
+        return (table if before is None else table.filter(F.col("batch") < before)).drop("batch")
 
 
 def start(df: DataFrame, step, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -64,21 +87,27 @@ def start(df: DataFrame, step, checkpoint: str, trigger: dict | None = None) ->
 
 # --- term history and scores ----------------------------------------------------------------
 
-def append_counts(folder: str):
-    """Step that adds closed slots' counts to the term history."""
+def keep_histories(counts: DataFrame, keep: int, width: int, folder: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keeps the counts of every token's last ``keep`` closed slots as keyed state.
+
+    ``counts`` is ``stream_counts`` without keys and with its time.  What a trigger touched goes to the table ``touched``.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
-        Memory(batch.sparkSession, folder).append("counts", number, batch)
+        Memory(batch.sparkSession, folder).append("touched", number, batch)
+
+    with keyed_state(counts.sparkSession):
+        return start(term_histories(counts, keep, width), step, f"{folder}/checkpoint", trigger)
 
-    return step
 
+def term_history(spark: SparkSession, folder: str, keep: int, operator: int = 0) -> DataFrame:
+    """Counts of the last ``keep`` closed slots; tokens not used in them are gone.
 
-def term_history(spark: SparkSession, folder: str, keep: int, keys: tuple[str, ...] = ("topic_id",)) -> DataFrame:
-    """Counts of the last ``keep`` closed slots; tokens not used in them are gone."""
-    schema = COUNTS if keys else COUNTS.replace("topic_id string, ", "")
-    counts = Memory(spark, folder).read("counts", schema)
-    newest = counts.agg(F.max("slot")).scalar()
-    return counts.filter(F.col("slot") > newest - keep)
+    ``operator`` is the number of the history among the query's stateful operators.
+    """
+    kept = stage(read_histories(spark, f"{folder}/checkpoint", operator), "histories")
+    newest = kept.agg(F.max("slot")).scalar()
+    return kept.filter(F.col("slot") > newest - keep)
 
 
 def score_closed(history: DataFrame, major: int, keys: tuple[str, ...] = ("topic_id",), key_rows: int = 1) -> DataFrame:
@@ -93,11 +122,6 @@ def score_closed(history: DataFrame, major: int, keys: tuple[str, ...] = ("topic
 
 # --- the burst job --------------------------------------------------------------------------
 
-def remember(delivered: DataFrame, horizon: int | None, now: int) -> DataFrame:
-    """Delivered posts a new post is compared with: all, or those of the last ``horizon`` slots."""
-    return delivered if horizon is None else delivered.filter(F.col("win") > now - horizon)
-
-
 def select_closed(
     posts: DataFrame, terms: DataFrame, delivered: DataFrame, win: int, conf: BurstConf
 ) -> DataFrame:
@@ -121,77 +145,170 @@ def select_closed(
     return fresh.join(sims, "id").select("topic_id", "win", "post_id", "text", "tokens", "sim", "hits")
 
 
-def burst_step(conf: BurstConf, folder: str, late_slots: int = 0, topics: int = 1):
+def count_step(conf: BurstConf, folder: str, late_slots: int = 0, topics: int = 1):
     """Step of the burst job over prepared posts (one row per post and topic).
 
-    A slot closes once a post ``late_slots`` + 1 slots later has arrived.  All windows a batch
-    closes are scored in one go; choosing posts goes window by window, because each window is
-    compared with what the earlier ones delivered.
+    A slot closes once a post ``late_slots`` + 1 slots later has arrived; posts that come later than that
+    are not counted.  Counts and scores are worked out once per slot, from the posts of the minor window and
+    the counts of the major one.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         memory = Memory(spark, folder)
-        rows = batch.select("topic_id", "post_id", "user_id", "created_at", "text", "tokens")
-        rows = rows.withColumn("own", slot_of(F.col("created_at"), conf.width))
-        memory.append("posts", number, rows, ("own",))
-        seen = memory.read("posts", POSTS, through=number)
-        added = spark.read.schema(POSTS).parquet(f"{folder}/posts/batch={number}").agg(F.min("own"), F.max("own")).first()
-        past = memory.read("progress", PROGRESS, before=number).agg(F.min("first_slot"), F.max("last_slot")).first()
-        slots = [x for x in (*added, *past) if x is not None]
+        rows = batch.select("topic_id", "post_id", "user_id", "created_at", "text", "tokens").filter("created_at is not null")
+        rows = rows.withColumn("own", slot_of(F.col("created_at"), conf.width)).withColumn("batch", F.lit(number).cast("bigint"))
+        seen = Observation()
+        memory.replace("posts", rows.observe(seen, F.min("own").alias("first"), F.max("own").alias("last")), "own", "batch")
+        past = memory.of_batch("progress", PROGRESS, number - 1).first() if number else None
+        added = [seen.get["first"], seen.get["last"]]
+        slots = [x for x in (*added, *([past.first_slot, past.last_slot] if past else [])) if x is not None]
         if not slots:
-            return
+            return memory.append("progress", number, spark.createDataFrame([(None, None, None)], PROGRESS))
         first, last = min(slots), max(slots)
-        memory.append("progress", number, spark.createDataFrame([(first, last)], PROGRESS))
-        closed = last - 1 - late_slots
-        from_ = max((past[1] - late_slots) if past[1] is not None else first, first + conf.major - 1)
-        if closed < from_:
+        done = past.closed if past and past.closed is not None else first - 1
+        closed = max(last - 1 - late_slots, done)
+        if closed > done:
+            near = memory.between("posts", POSTS, "own", done + 2 - conf.minor, closed)
+            spread = near.withColumn("slot", F.explode(minor_slots(F.col("own"), conf.minor)))
+            memory.replace("counts", term_counts(spread.filter(F.col("slot").between(done + 1, closed)), keys=("topic_id",)), "slot")
+        win = max(done + 1, first + conf.major - 1)
+        if win <= closed:
+            low = win - conf.major + 1
+            cells = memory.between("counts", COUNTS, "slot", low, closed)
+            scores = burst_scores(cells, low, closed, conf.major, "full", keys=("topic_id",), key_rows=topics)
+            memory.replace("scores", scores, "win")
+            scores = memory.between("scores", SCORES, "win", win, closed)
+            levels = burst_levels(scores, conf.burst_threshold, conf.threshold_modifier, conf.burst_term_length)
+            # One file, so that the next query sees a window's counts all at once.
+            memory.append("levels", number, levels.withColumnRenamed("step", "win").coalesce(1))
+        memory.append("progress", number, spark.createDataFrame([(first, last, closed)], PROGRESS))
+
+    return step
+
+
+def deliver_step(conf: BurstConf, folder: str, publish: "Outputs | None" = None):
+    """Step of the burst job over decided windows ``(topic_id, win, bursts, level, next_level)``.
+
+    Terms of all windows are found in one go; choosing posts goes window by window, because each window is
+    compared with what the earlier ones delivered.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        memory = Memory(batch.sparkSession, folder)
+        decided = stage(batch, "decided")
+        wins = sorted(r.win for r in decided.select("win").distinct().collect())
+        if not wins:
             return
-        near = seen.filter(F.col("own").between(from_ - conf.major - conf.minor + 2, closed))
-        spread = near.withColumn("slot", F.explode(minor_slots(F.col("own"), conf.minor)))
-        counts = stage(term_counts(spread.filter(F.col("slot") <= closed), keys=("topic_id",)), "counts")
-        lo = max(first, from_ - conf.major + 1)
-        scores = burst_scores(counts.filter(F.col("slot") >= lo), lo, closed, conf.major, "full", keys=("topic_id",), key_rows=topics)
-        scores = stage(scores, "scores")
-        memory.append("levels", number, burst_levels(scores, conf.burst_threshold, conf.threshold_modifier, conf.burst_term_length))
-        levels = memory.read("levels", LEVELS, through=number)
-        changes = fold_burst_levels(levels, conf.burst_threshold, conf.threshold_modifier, conf.major)
-        limits = thresholds_at(changes, scores.select("topic_id", "win").distinct(), conf.burst_threshold)
-        bursting = filter_term_length(scores.join(limits, ["topic_id", "win"]), conf.burst_term_length)
-        bursting = bursting.filter(F.col("score") > F.col("threshold")).drop("threshold")
-        memory.append("changes", number, changes.join(scores.select("topic_id", "win").distinct(), ["topic_id", "win"], "left_semi"))
-        terms = bursting.select("topic_id", "win", "token", "score")
+        value = lambda level: F.pow(F.lit(conf.burst_threshold), F.pow(F.lit(conf.threshold_modifier), F.col(level)))
+        limits = decided.select("topic_id", "win", value("level").alias("threshold"))
+        changed = decided.filter("level <> next_level")
+        old, new = value("level").alias("old_threshold"), value("next_level").alias("new_threshold")
+        memory.replace("changes", changed.select("topic_id", "bursts", old, new, "win"), "win")
+        scores = memory.between("scores", SCORES, "win", wins[0], wins[-1])
+        terms = filter_term_length(scores.join(F.broadcast(limits), ["topic_id", "win"]), conf.burst_term_length)
+        terms = terms.filter(F.col("score") > F.col("threshold"))
         if conf.search_terms is not None:
             terms = best_terms(terms, conf.search_terms, ("topic_id", "win"))
-        memory.append("terms", number, terms)
-        terms = spark.read.schema(TERMS).parquet(f"{folder}/terms/batch={number}")
-        for row in terms.select("win").distinct().orderBy("win").collect():
-            window = seen.filter(F.col("own").between(row.win - conf.minor + 1, row.win))
-            delivered = remember(memory.read("delivered", DELIVERED), conf.horizon, row.win).filter(F.col("win") < row.win)
-            chosen = select_closed(window, terms.filter(F.col("win") == row.win), delivered, row.win, conf)
-            chosen.write.mode("overwrite").parquet(f"{folder}/delivered/batch={row.win}")
+        memory.replace("terms", terms.select("topic_id", "token", "score", "threshold", "win"), "win")
+        terms = memory.between("terms", TERMS, "win", wins[0], wins[-1])
+        for win in sorted(r.win for r in terms.select("win").distinct().collect()):
+            window = memory.between("posts", POSTS, "own", win - conf.minor + 1, win).drop("batch")
+            if conf.horizon is None:
+                delivered = memory.all("delivered", DELIVERED).filter(F.col("win") < win)
+            else:
+                delivered = memory.between("delivered", DELIVERED, "win", win - conf.horizon + 1, win - 1)
+            chosen = select_closed(window, terms.filter(F.col("win") == win), delivered, win, conf)
+            memory.replace("delivered", chosen.select("topic_id", "post_id", "text", "tokens", "sim", "hits", "win").coalesce(1), "win")
+        if publish:
+            publish.write(memory, wins, conf)
 
     return step
 
 
+@dataclass(frozen=True)
+class Outputs:
+    """Where and how a burst job publishes what it decides: one file per kind and window.
+
+    A window that is decided again replaces its own files.
+    """
+
+    folder: str
+    address: str = ""
+    client: str = ""
+
+    def write(self, memory: Memory, wins: list[int], conf: BurstConf) -> None:
+        span = "win", wins[0], wins[-1]
+        delivered = memory.between("delivered", DELIVERED, *span)
+        rows = delivered.withColumn("topic", F.col("topic_id")).withColumn("part", F.col("win"))
+        sinks.write_parts(sinks.selected_rows(rows, conf.width, "part"), f"{self.folder}/selected")
+        terms = memory.between("terms", TERMS, *span).withColumn("part", F.col("win"))
+        sinks.write_parts(sinks.burst_log_rows(terms, conf.width, "part"), f"{self.folder}/terms")
+        changes = memory.between("changes", CHANGES, *span).withColumn("part", F.col("win"))
+        sinks.write_parts(sinks.threshold_log_rows(changes, conf.width, "win", "part"), f"{self.folder}/thresholds")
+        if self.address:
+            payload = sinks.delivery_payload(delivered.withColumn("part", F.col("win")), self.address, self.client, "part")
+            sinks.write_parts(payload, f"{self.folder}/payload")
+
+
+class BurstJob:
+    """The burst job's two queries: one counts and scores closed slots, the other decides and delivers.
+
+    With a trigger that works off what is there (``availableNow``), the second starts when the first has ended.
+    """
+
+    def __init__(self, posts, topics, conf: BurstConf, folder: str, late_slots: int, trigger: dict | None, publish):
+        spark = self.spark = posts.sparkSession
+        self.conf, self.folder, self.trigger, self.publish = conf, folder, trigger, publish
+        memory = Memory(spark, folder)
+        if not memory._there(f"{folder}/levels"):  # the second query can't start on a missing folder
+            memory.append("levels", -1, spark.createDataFrame([], LEVELS))
+        step = count_step(conf, folder, late_slots, topics.count())
+        self.queries = [start(stream_prepare(posts, topics, conf), step, f"{folder}/checkpoint/counts", trigger)]
+        self.finite = bool(trigger) and (trigger.get("availableNow") or trigger.get("once"))
+        if not self.finite:
+            self.queries.append(self._deliver())
+
+    def _deliver(self) -> StreamingQuery:
+        reader = self.spark.readStream.schema(LEVELS).option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
+        with keyed_state(self.spark):
+            decided = decide_thresholds(reader.parquet(f"{self.folder}/levels"), self.conf.major)
+            step = deliver_step(self.conf, self.folder, self.publish)
+            return start(decided, step, f"{self.folder}/checkpoint/decisions", self.trigger)
+
+    def awaitTermination(self) -> None:
+        self.queries[0].awaitTermination()
+        if self.finite and len(self.queries) == 1:
+            self.queries.append(self._deliver())
+        self.queries[1].awaitTermination()
+
+    def stop(self) -> None:
+        for running in self.queries:
+            running.stop()
+
+
 def burst_stream(
-    posts: DataFrame, topics: DataFrame, conf: BurstConf, folder: str, late_slots: int = 0, trigger: dict | None = None
-) -> StreamingQuery:
+    posts: DataFrame,
+    topics: DataFrame,
+    conf: BurstConf,
+    folder: str,
+    late_slots: int = 0,
+    trigger: dict | None = None,
+    publish: Outputs | None = None,
+) -> BurstJob:
     """Bursting terms and novel posts per topic, from a stream of posts."""
-    prepared = stream_prepare(posts, topics, conf)
-    step = burst_step(conf, folder, late_slots, topics.count())
-    return start(prepared, step, f"{folder}/checkpoint", trigger)
+    return BurstJob(posts, topics, conf, folder, late_slots, trigger, publish)
 
 
 def burst_results(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Delivered posts and bursting terms of a burst job."""
     memory = Memory(spark, folder)
-    return memory.read("delivered", DELIVERED), memory.read("terms", TERMS)
+    return memory.all("delivered", DELIVERED), memory.all("terms", TERMS)
 
 
 def burst_changes(spark: SparkSession, folder: str) -> DataFrame:
     """Threshold changes of a burst job, as the burst log takes them."""
-    return Memory(spark, folder).read("changes", CHANGES)
+    return Memory(spark, folder).all("changes", CHANGES)
 
 
 # --- the repost job -------------------------------------------------------------------------

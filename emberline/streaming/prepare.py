@@ -36,12 +36,12 @@ def repost_prepare(posts: DataFrame, topics: DataFrame, conf: BurstConf, op: str
     return matched.withColumn("tokens", post_tokens("plain"))
 
 
-def stream_counts(prepared: DataFrame, conf: BurstConf, delay: str, keys: tuple[str, ...] = ("topic_id",)) -> DataFrame:
+def stream_counts(prepared: DataFrame, conf: BurstConf, delay: str, keys: tuple[str, ...] = ("topic_id",), timed: bool = False) -> DataFrame:
     """``(*keys, slot, token, n)``: distinct users per token over sliding minor windows.
 
     Two chained aggregations on event time, the first keeping each user once per window and token.
     In append mode a window's counts come out when the watermark passes its end; ``slot`` is the
-    window's last slice.
+    window's last slice, and ``timed`` adds its last instant ``at``, which stays event time.
     """
     length, step = f"{conf.minor * conf.width} seconds", f"{conf.width} seconds"
     rows = with_delay(prepared, delay).select(
@@ -50,4 +50,5 @@ def stream_counts(prepared: DataFrame, conf: BurstConf, delay: str, keys: tuple[
     users = rows.groupBy(F.window("created_at", length, step), *keys, "user_id", "token").agg(F.count("*").alias("uses"))
     per_window = users.select(F.window_time("window").alias("at"), *keys, "token")
     counts = per_window.groupBy(F.window("at", step), *keys, "token").agg(F.count("*").alias("n"))
-    return counts.select(*keys, slot_of(F.col("window.start"), conf.width).alias("slot"), "token", "n")
+    at = [F.window_time("window").alias("at")] if timed else []
+    return counts.select(*keys, slot_of(F.col("window.start"), conf.width).alias("slot"), "token", "n", *at)
