@@ -7,12 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from emberline.functions.text import strip_punct_tokens
-from emberline.operators.novelty import candidate_pairs, prefix_entries, rare_first, verified
+from emberline.operators.novelty import HOT_KEY, SIGNATURE, candidate_pairs, meetings, prefix_entries, rare_first, verified
 from emberline.operators.sizing import at_most
 from emberline.sources.scratch import stage
 
-PAIR_BUDGET = 2_000_000_000  # candidate pairs one batch may form
-
+FEW_ENTRIES = 100_000  # keys of rows that are looked up without bounds
 
 def union_all(frames) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
@@ -43,19 +42,18 @@ def distinct_slices(slotted: DataFrame) -> DataFrame:
     return slotted.select("slot").distinct()
 
 
-def merge_near_duplicates(feeds: DataFrame, threshold: float, pair_budget: int = PAIR_BUDGET) -> DataFrame:
+def merge_near_duplicates(feeds: DataFrame, threshold: float) -> DataFrame:
     """Rows a broker lets through that sees ``feeds`` in order of arrival.
 
     ``feeds`` is ``(arrival, feed, topic, post_id, text)``, ``arrival`` a number.  A row passes when
     its topic and id did not pass before and its text is less similar than ``threshold`` to every
     text that passed, whatever its topic.
 
-    Undecided rows are taken in batches of arrival order.  Inside a batch the similar pairs decide
-    in rounds; the rows that pass then strike out everything similar that is still undecided, so a
-    large group of near copies is settled by comparing each member with the few that passed.  A
-    batch is cut down until its candidate pairs fit ``pair_budget``.
+    That is the lexicographically first maximal independent set of the conflict graph.  Edges are worked out once per
+    row, up to the first one that the earliest row of a crowded key gives away, so a large group of near
+    copies has about one edge per member; the rounds run over the table of edges alone.  Rows whose known conflicts all
+    fell are looked up again, against what passed and what is open too.
     """
-    floor = threshold
     rows = feeds.select(
         F.struct("arrival", "feed", "topic", "post_id").alias("pos"),
         F.array_sort(F.array_distinct(strip_punct_tokens(F.col("text")))).alias("tokens"),
@@ -66,78 +64,89 @@ def merge_near_duplicates(feeds: DataFrame, threshold: float, pair_budget: int =
     first = stage(first, "deliveries")
     texts = first.groupBy("pos.topic", "pos.post_id").agg(F.count("*").alias("n")).filter("n > 1")
     on = [F.col("pos.topic") == F.col("t.topic"), F.col("pos.post_id") == F.col("t.post_id")]
-    several = first.join(texts.alias("t"), on, "left_semi")
+    several = first.join(texts.alias("t"), on, "left_semi").withColumn("several", F.lit(True))
     single = first.join(texts.alias("t"), on, "left_anti").groupBy("tokens").agg(F.min("pos").alias("pos"))
-    sets = several.unionByName(single).select(F.col("pos").alias("id"), "pos", "tokens", F.size("tokens").alias("size"))
-    sets = stage(rare_first(sets), "sets")
-    entries = stage(_conflict_entries(sets, floor), "entries")
-    open_, passed = sets.select("id"), []
-    while not at_most(open_, 0):
-        alive = stage(entries.join(open_, "id", "left_semi"), "alive")
-        cut = _cut(alive, pair_budget)
-        batch = alive if cut is None else alive.filter(F.col("pos.arrival") <= cut)
-        kept = stage(_resolve(batch, sets, floor), "passed")
-        passed.append(kept)
-        if cut is None:
-            break
-        later = alive.filter(F.col("pos.arrival") > cut)
-        struck = _conflicts(later, alive.join(kept, "id", "left_semi"), sets, floor).select("id").distinct()
-        open_ = stage(later.select("id").distinct().join(struck, "id", "left_anti"), "undecided")
-    if not passed:
-        return feeds.limit(0)
-    ids = union_all(passed).select("id.*")
+    sets = several.unionByName(single.withColumn("several", F.lit(False)))
+    # From here on a row is a number that grows with its place in the order of arrival.
+    sets = sets.orderBy("pos").withColumn("id", F.monotonically_increasing_id())
+    sets = stage(sets.withColumn("size", F.size("tokens")), "rows")
+    texts = stage(rare_first(sets.select("id", F.col("id").alias("pos"), "tokens", "size")), "sets")
+    entries = prefix_entries(texts, threshold).withColumn("key", F.xxhash64("key"))  # equal hashes only add candidates
+    named = sets.filter("several").select("id", "pos.topic", "pos.post_id")
+    passed = _first_independent(stage(entries, "entries"), stage(named, "named"), texts, sets.select("id"), threshold)
     keys = ["arrival", "feed", "topic", "post_id"]
-    return feeds.join(ids, keys, "left_semi").dropDuplicates(keys)
-
-
-def _conflict_entries(sets: DataFrame, floor: float) -> DataFrame:
-    """Keys on which rows in conflict meet: prefix tokens, and the topic with the id."""
-    by_token = prefix_entries(sets, floor).select("id", "pos", "size", "place", F.concat(F.lit("t"), "key").alias("key"))
-    own = F.concat_ws(" ", F.lit("id"), F.col("id.post_id").cast("string"), F.col("id.topic"))
-    none = F.lit(None).cast("int")
-    return by_token.unionByName(sets.select("id", "pos", none.alias("size"), none.alias("place"), own.alias("key")))
-
+    return feeds.join(sets.join(passed, "id", "left_semi").select("pos.*"), keys, "left_semi").dropDuplicates(keys)
 
-def _conflicts(later: DataFrame, earlier: DataFrame, sets: DataFrame, floor: float) -> DataFrame:
-    """``(id, other)``: rows barred by an earlier row if that one passes."""
-    text = lambda e: e.filter("size is not null")
-    similar = verified(candidate_pairs(text(later), text(earlier), floor), sets).filter(F.col("sim") >= floor)
-    named = lambda e: e.filter("size is null")
-    meet = named(later).alias("l").join(named(earlier).alias("r"), F.col("l.key") == F.col("r.key"))
-    same = meet.filter(F.col("r.pos") < F.col("l.pos")).select(F.col("l.id").alias("id"), F.col("r.id").alias("other"))
-    return similar.select("id", "other").unionByName(same).distinct()
 
-
-def _cut(entries: DataFrame, budget: int):
-    """Arrival up to which the batch's candidate pairs fit the budget; None for all rows."""
-    fraction, last = 1.0, None
+def _first_independent(entries: DataFrame, named: DataFrame, sets: DataFrame, ids: DataFrame, floor: float) -> DataFrame:
+    """Ids of the lexicographically first maximal independent set."""
+    passed, asked = None, ids
     while True:
-        if fraction == 1.0:
-            cut, batch = None, entries
+        if passed is None:
+            edges = _first_conflicts(entries, named, entries, named, sets, floor, bound=True)
         else:
-            cut = entries.agg(F.percentile_approx("pos.arrival", F.lit(fraction), F.lit(10_000))).first()[0]
-            batch = entries.filter(F.col("pos.arrival") <= cut)
-        meets = batch.groupBy("key").agg(F.count("*").cast("double").alias("n"))
-        pairs = meets.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0.0
-        if pairs <= budget or (cut is not None and cut == last):
-            return cut
-        fraction, last = fraction / 4, cut
-
-
-def _resolve(batch: DataFrame, sets: DataFrame, floor: float) -> DataFrame:
-    """Ids of a batch that pass: a row passes once all earlier rows in conflict with it have been
-    rejected, and is rejected once one of them has passed."""
-    edges = stage(_conflicts(batch, batch, sets, floor), "conflicts")
-    open_ = batch.select("id").distinct()
-    barred = edges.select("id").distinct()
-    kept = [stage(open_.join(barred, "id", "left_anti"), "kept")]
-    while not at_most(edges, 0):
-        last = kept[-1].select(F.col("id").alias("other"))
-        struck = edges.join(last, "other", "left_semi").select("id").distinct()
-        alive = edges.join(struck, "id", "left_anti")
-        gone = struck.select(F.col("id").alias("other"))
-        # Rows whose every earlier conflict is gone pass next.
-        waiting = stage(edges.select("id").distinct().join(struck, "id", "left_anti"), "waiting")
-        edges = stage(alive.join(gone, "other", "left_anti"), "conflicts")
-        kept.append(stage(waiting.join(edges.select("id").distinct(), "id", "left_anti"), "kept"))
-    return union_all(kept)
+            live = passed.unionByName(asked)
+            own = stage(entries.join(asked, "id", "left_semi"), "asked")
+            own_named, present = named.join(asked, "id", "left_semi"), entries.join(live, "id", "left_semi")
+            bound = not at_most(own, FEW_ENTRIES)
+            edges = _first_conflicts(own, own_named, present, named.join(live, "id", "left_semi"), sets, floor, bound)
+        verdicts = _decide(asked, edges, passed)
+        kept = verdicts.filter("good").select("id")
+        passed = kept if passed is None else stage(passed.unionByName(kept), "passed")
+        asked = asked.join(verdicts, "id", "left_anti")
+        if at_most(asked, 0):
+            return passed
+        asked = stage(asked, "undecided")
+
+
+def _decide(ids: DataFrame, edges: DataFrame, passed: DataFrame | None) -> DataFrame:
+    """``(id, good)`` of the rows that their known conflicts decide.
+
+    A row passes once all its conflicts have fallen and no others can exist, and falls once one of them has passed.
+    """
+    free = ids.join(edges.select("id").distinct(), "id", "left_anti").select("id", F.lit(True).alias("good"))
+    verdicts, decided = stage(free, "verdicts"), -1
+    while (count := verdicts.count()) > decided:
+        known = verdicts if passed is None else verdicts.unionByName(passed.select("id", F.lit(True).alias("good")))
+        met = edges.join(known.withColumnRenamed("id", "other"), "other", "left")
+        facts = met.groupBy("id").agg(
+            F.bool_or(F.coalesce("good", F.lit(False))).alias("hit"), F.bool_and(F.coalesce(~F.col("good"), F.lit(False)) & ~F.col("more")).alias("clear")
+        )
+        verdicts, decided = stage(free.unionByName(facts.filter("hit or clear").select("id", F.col("clear").alias("good"))), "verdicts"), count
+    return verdicts
+
+
+def _first_conflicts(
+    asked: DataFrame, asked_named: DataFrame, present: DataFrame, present_named: DataFrame, sets: DataFrame, floor: float, bound: bool
+) -> DataFrame:
+    """``(id, other, more)`` conflicts of the asked rows with earlier ones; ``more`` says that later ones may exist.
+
+    A row first meets the earliest row with its id and (with ``bound``) the earliest row of each of its crowded keys.  If
+    it conflicts with one of these, only rows before that one count: on a key, none but those before the latest
+    such bound can matter.
+    """
+    heads = present_named.groupBy("topic", "post_id").agg(F.min("id").alias("other"))
+    met = asked_named.join(heads, ["topic", "post_id"]).filter(F.col("other") < F.col("id")).select("id", "other")
+    crowded = None
+    if bound:
+        crowded = present.groupBy("key").agg(F.min(F.struct("pos", "id", "size", *SIGNATURE)).alias("h"), F.count("*").alias("n"))
+        crowded = stage(crowded.filter(F.col("n") >= HOT_KEY).select("key", "h.*"), "heads")
+        crowded = None if at_most(crowded, 0) else crowded
+    free = asked
+    if crowded is not None:
+        pairs = meetings(asked, crowded, floor).select(F.col("l.id").alias("id"), F.col("r.id").alias("other")).distinct()
+        like_heads = stage(verified(pairs, sets, floor).filter(F.col("sim") >= floor).select("id", "other"), "met")
+        tied = asked.join(like_heads.groupBy("id").agg(F.min("other").alias("bound")), "id")
+        caps = tied.groupBy("key").agg(F.max("bound").alias("cap"))
+        before = present.join(caps, "key").filter(F.col("pos") < F.col("cap")).drop("cap")
+        earlier = meetings(tied, before, floor).filter(F.col("r.pos") < F.col("l.bound"))
+        earlier = earlier.select(F.col("l.id").alias("id"), F.col("r.id").alias("other")).distinct()
+        free = asked.join(like_heads, "id", "left_anti")
+        met = met.unionByName(like_heads)
+    found = candidate_pairs(free, present, floor)
+    found = found if crowded is None else found.unionByName(earlier)
+    similar = verified(found, sets, floor).filter(F.col("sim") >= floor).select("id", "other")
+    bounds = met.groupBy("id").agg(F.min("other").alias("bound"))
+    edges = similar.unionByName(met).distinct().join(bounds, "id", "left")
+    edges = edges.filter(F.col("bound").isNull() | (F.col("other") <= F.col("bound")))
+    return stage(edges.select("id", "other", F.col("bound").isNotNull().alias("more")), "conflicts")

@@ -77,17 +77,36 @@ def by_broker(rows, threshold):
     return kept
 
 
-@pytest.mark.parametrize("seed,budget", [(1, 10**9), (2, 10**9), (3, 40)])
-def test_merge_equals_the_broker(spark, seed, budget):
-    """A small pair budget forces several batches."""
+@pytest.mark.parametrize("seed,crowd", [(1, 100), (2, 100), (3, 2), (4, 2), (5, 3)])
+def test_merge_equals_the_broker(spark, seed, crowd, monkeypatch):
+    """With few rows making a key crowded, conflicts are only known in part at first."""
+    monkeypatch.setattr(merge, "HOT_KEY", crowd)
+    monkeypatch.setattr(merge, "FEW_ENTRIES", 0 if crowd == 2 else 100)
     rng = random.Random(seed)
     sets = random_sets(seed, 60, words=16, near=0.5)
     rows = [(i, "f", rng.choice("ab"), rng.randint(1, 25), " ".join(s)) for i, s in enumerate(sets)]
     frame = spark.createDataFrame(rows, "arrival bigint, feed string, topic string, post_id bigint, text string")
-    got = merge.merge_near_duplicates(frame, 0.5, budget).select("arrival", "feed", "topic", "post_id")
+    got = merge.merge_near_duplicates(frame, 0.5).select("arrival", "feed", "topic", "post_id")
     assert sorted(tuple(r) for r in got.collect()) == by_broker(rows, 0.5)
 
 
+def test_a_large_group_of_near_copies_has_an_edge_per_member(spark, monkeypatch):
+    monkeypatch.setattr(merge, "HOT_KEY", 20)
+    seen = []
+    known = merge._first_conflicts
+    monkeypatch.setattr(merge, "_first_conflicts", lambda *a, **k: seen.append(known(*a, **k)) or seen[-1])
+    rng = random.Random(6)
+    body = [f"w{i}" for i in range(30)]
+    texts = [" ".join(body[:k] + [f"x{n}"] + body[k + 1 :]) for n, k in enumerate(rng.choices(range(30), k=300))]
+    texts += [" ".join(f"y{n}z{i}" for i in range(8)) for n in range(50)]
+    rng.shuffle(texts)
+    rows = [(i, "f", "a", i, text) for i, text in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "arrival bigint, feed string, topic string, post_id bigint, text string")
+    got = merge.merge_near_duplicates(frame, 0.5).select("arrival", "feed", "topic", "post_id")
+    assert sorted(tuple(r) for r in got.collect()) == by_broker(rows, 0.5)
+    assert sum(edges.count() for edges in seen) < 2 * len(rows)  # all pairs would be 45 000
+
+
 def post_rows(spark, texts):
     frame = spark.createDataFrame(list(enumerate(texts)), "post_id bigint, text string")
     none = F.expr("cast(array() as array<string>)")
