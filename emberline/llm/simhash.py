@@ -102,6 +102,11 @@ def _keys() -> Column:
     return F.array(*entries)
 
 
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of differing bits; a negative number's are only counted right without its sign."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _forest(members: np.ndarray, sides: np.ndarray | None, within: int) -> tuple[np.ndarray, np.ndarray]:
     """At most len(members) - 1 links that connect all members with up to ``within`` differing bits.
 
@@ -110,7 +115,7 @@ def _forest(members: np.ndarray, sides: np.ndarray | None, within: int) -> tuple
     label = np.arange(len(members))
     step = max(1, (1 << 20) // len(members))
     for low in range(0, len(members), step):
-        near = np.bitwise_count(members[low : low + step, None] ^ members[None, :]) <= within
+        near = _differing(members[low : low + step, None], members[None, :]) <= within
         if sides is not None:
             near &= sides[low : low + step, None] != sides[None, :]
         a, b = np.nonzero(near)
@@ -132,7 +137,7 @@ def _meet(batches: Iterator[pa.RecordBatch], within: int) -> Iterator[pa.RecordB
         edges = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
         sizes = np.diff(edges, append=len(keys))
         twos = edges[sizes == 2]
-        close = np.bitwise_count(fps[twos] ^ fps[twos + 1]) <= within
+        close = _differing(fps[twos], fps[twos + 1]) <= within
         out_a.append(fps[twos[close]])
         out_b.append(fps[twos[close] + 1])
         for at, n in zip(edges[sizes > 2].tolist(), sizes[sizes > 2].tolist()):

@@ -191,3 +191,14 @@ def contamination(docs, benchmark, size=13):
         bad = bool(hit) and 20 * len(hit) >= len(w)
         out[doc_id] = (len(w), len(hit), len(items - {None}), hashlib.sha256(names.encode()).hexdigest(), bad)
     return out
+
+
+def shingle_set(text, width):
+    """The distinct word shingles of a text; a shorter text is one."""
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
+
+
+def alike(a, b):
+    """Jaccard similarity; two texts without words are alike."""
+    return len(a & b) / len(a | b) if a or b else 1.0

@@ -23,7 +23,11 @@ def test_stages(spark):
     assert after.count() == scores.filter("score < 0.5").count()
     before, after = kept["near_duplicates"]
     rows = [tuple(r) for r in before.select("doc_id", "text").collect()]
-    assert {r.doc_id for r in after.collect()} == {g[2] for g in brute.simhash_groups(rows)}
+    left = {r.doc_id for r in after.collect()}
+    sets = [(d, brute.shingle_set(t, 5)) for d, t in rows]
+    links = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[i + 1 :] if brute.alike(x, y) >= 0.8]
+    assert sum(not {a, b} <= left for a, b in links) >= 0.9 * len(links)
+    assert {d for d, _ in rows} - left <= {max(pair) for pair in links}  # clean documents stay
     before, after = kept["decontamination"]
     items = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text").collect()]
     bad = brute.contamination([tuple(r) for r in before.select("doc_id", "text").collect()], items)
