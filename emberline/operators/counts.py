@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from emberline.functions.timeslice import minor_slots, slot_of
 
@@ -29,6 +29,35 @@ def term_counts(posts: DataFrame, by: str = "user", keep_slots: bool = False, ke
     return rows.groupBy(*keys, "slot", "token").agg(F.count_distinct(who).alias("n"))
 
 
+def minor_counts(posts: DataFrame, minor: int, by: str = "user", keep_slots: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``term_counts`` of posts that count for their own ``slot`` and the next ``minor - 1``.
+
+    No post is copied: a user's use of a token holds from its slot up to the next use or the end of the minor window, which
+    are two marks, +1 and -1. Marks are summed per token and slot, and a running sum over a token's slots gives the number of
+    users between two marks. What is shuffled doesn't depend on ``minor``.
+    """
+    if minor == 1:
+        return term_counts(posts, by, keep_slots, keys)
+    who = "user_id" if by == "user" else "post_id"
+    unnest = F.explode_outer if keep_slots else F.explode
+    rows = posts.select(*keys, "slot", who, unnest(F.array_distinct("tokens")).alias("token")).filter(F.col("slot").isNotNull() & F.col(who).isNotNull())
+    uses = rows.repartition(*keys, "token", who).distinct()  # dealt as the next step needs it
+    end = F.col("slot") + minor
+    stop = F.least(end, F.coalesce(F.lead("slot").over(Window.partitionBy(*keys, "token", who).orderBy("slot")), end))
+    mark = lambda at, change: F.struct(F.col(at).alias("slot"), F.lit(change).cast("bigint").alias("change"))
+    marks = uses.withColumn("stop", stop).select(*keys, "token", F.inline(F.array(mark("slot", 1), mark("stop", -1))))
+    steps = marks.groupBy(*keys, "token", "slot").agg(F.sum("change").alias("change")).filter("change <> 0")
+    line = Window.partitionBy(*keys, "token").orderBy("slot")
+    running = steps.select(
+        *keys,
+        "token",
+        F.col("slot").alias("first"),
+        (F.lead("slot").over(line) - 1).alias("last"),
+        F.sum("change").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("n"),
+    )
+    return running.filter("n > 0").select(*keys, F.explode(F.sequence("first", "last")).alias("slot"), "token", "n")
+
+
 def slice_totals(counts: DataFrame) -> DataFrame:
     """Sum of counts per slot."""
     return counts.groupBy("slot").agg(F.sum("n").alias("total"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from emberline.conf import BurstConf
 from emberline.functions.text import post_tokens
-from emberline.functions.timeslice import minor_slots, slot_of
-from emberline.operators.counts import term_counts
+from emberline.functions.timeslice import slot_of
+from emberline.operators.counts import minor_counts
 from emberline.operators.filters import filter_burst, filter_lang, filter_reposts, filter_valid, summary_filters
 from emberline.operators.matching import assign_topics, gate_posts, keyword_match, match_any_topic, match_posts
 from emberline.operators.scores import burst_scores, window_stats
@@ -38,9 +38,7 @@ def window_counts(
     if min_tokens:
         empty = F.expr("cast(array() as array<string>)")
         prepared = prepared.withColumn("tokens", F.when(F.size("tokens") >= min_tokens, F.col("tokens")).otherwise(empty))
-    if conf.minor > 1:
-        prepared = prepared.withColumn("slot", F.explode(minor_slots(F.col("slot"), conf.minor)))
-    counts = stage(term_counts(prepared, by, keep_slots=True), "counts")
+    counts = stage(minor_counts(prepared, conf.minor, by, keep_slots=True), "counts")
     bounds = slot_range(counts)
     if bounds is None:
         return None

@@ -27,6 +27,11 @@ posts AS (
          CAST(floor(epoch(e.ts) / {H}) AS BIGINT) AS slot
   FROM documents d JOIN events e ON d.doc_id = e.event_id)"""
 
+# Every event is a post, with the text of the document numbered by its number modulo the number of documents.
+EVERY = POSTS.replace("d.doc_id AS post_id", "e.event_id AS post_id").replace(
+    "documents d JOIN events e ON d.doc_id = e.event_id", "events e JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)"
+)
+
 KEPT = """
 kept AS (
   SELECT * FROM posts
@@ -176,6 +181,7 @@ EN_CELLS = (*EN, cells("tok", 2, least=3))
 EN_SCORES = (*EN_CELLS, dense())
 EN_FULL = (*EN_CELLS, dense(emit="full"))
 ALL = (POSTS, tokens("posts"))
+EVERYTHING = (EVERY, tokens("posts"))
 MATCH = (POSTS, TOPICS, units("posts"), relevance())
 SCORE_ROWS = f"SELECT win * {H} AS epoch_s, token, {r6('score')} FROM scores"
 LONG_TIME = "strftime({}, '%a %b %d %H:%M:%S +0000 %Y')"
@@ -393,7 +399,7 @@ oracle("minor_dates", f"SELECT post_id, (slot + unnest([0, 1, 2])) * {H} AS epoc
 oracle(
     "slice_spine",
     f"SELECT unnest(range(lo, hi + 1)) * {H} AS epoch_s FROM (SELECT min(slot) AS lo, max(slot) AS hi FROM posts)",
-    POSTS,
+    EVERY,
 )
 oracle(
     "jaccard",
@@ -452,15 +458,19 @@ COUNT_ROWS = f"SELECT slot * {H} AS epoch_s, token, n FROM cells"
 oracle("term_user_counts", COUNT_ROWS, *ALL, cells("tok"))
 oracle("term_post_counts", COUNT_ROWS, *ALL, cells("tok", by="post_id", column="learner"))
 oracle("minor_window_merge", COUNT_ROWS, *ALL, cells("tok", 3))
+PER_TOKEN = "SELECT token, count(*) AS slots, CAST(sum(n) AS BIGINT) AS total, max(n) AS most FROM cells GROUP BY token"
+oracle("minor_window_merge_long", PER_TOKEN, *ALL, cells("tok", 30))
+oracle("term_user_counts_events", PER_TOKEN, *EVERYTHING, cells("tok"))
+oracle("term_post_counts_events", PER_TOKEN, *EVERYTHING, cells("tok", by="post_id", column="learner"))
 oracle(
     "slice_groups",
     f"""SELECT slot * {H} AS epoch_s, count(*) AS posts, count(DISTINCT user_id) AS users,
               CAST(floor(epoch(min(created_at))) AS BIGINT) AS first_at, CAST(floor(epoch(max(created_at))) AS BIGINT) AS last_at
        FROM posts GROUP BY slot""",
-    POSTS,
+    EVERY,
 )
-oracle("time_bounds", f"SELECT min(slot) * {H} AS first_s, (max(slot) + 2) * {H} AS last_s FROM posts", POSTS)
-oracle("slice_totals", f"SELECT slot * {H} AS epoch_s, CAST(sum(n) AS BIGINT) AS total FROM cells GROUP BY slot", *ALL, cells("tok"))
+oracle("time_bounds", f"SELECT min(slot) * {H} AS first_s, (max(slot) + 2) * {H} AS last_s FROM posts", EVERY)
+oracle("slice_totals", f"SELECT slot * {H} AS epoch_s, CAST(sum(n) AS BIGINT) AS total FROM cells GROUP BY slot", *EVERYTHING, cells("tok"))
 oracle("vocab_size", f"SELECT win * {H} AS epoch_s, v AS vocab FROM vocab_scores", *EN_FULL)
 oracle(
     "slice_profile",
@@ -694,7 +704,7 @@ oracle(
     POSTS, TOPICS, KEYWORDS3.format(cond="TRUE"),
 )
 oracle("distinct_tokens", "SELECT DISTINCT unnest(summary) AS token FROM tok", *ALL)
-oracle("distinct_slices", f"SELECT DISTINCT (slot + unnest([0, 1, 2])) * {H} AS epoch_s FROM posts", POSTS)
+oracle("distinct_slices", f"SELECT DISTINCT (slot + unnest([0, 1, 2])) * {H} AS epoch_s FROM posts", EVERY)
 
 # --- adaptive thresholds --------------------------------------------------------------------
 

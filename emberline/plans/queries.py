@@ -72,6 +72,12 @@ def slotted(spark, folder, minor=1, style="summary") -> DataFrame:
     return C.with_slots(tokenised(spark, folder, style), HOUR, minor)
 
 
+def every_post(spark, folder, style="summary") -> DataFrame:
+    """All events as posts, with tokens and own slots."""
+    rows = posts_from_tables(spark, folder, every_event=True).withColumn("tokens", X.post_tokens(style))
+    return C.with_slots(rows, HOUR)
+
+
 def r6(column) -> F.Column:
     column = F.col(column) if isinstance(column, str) else column
     return F.round(column, 6) + F.lit(0.0)
@@ -435,7 +441,7 @@ def _(spark, folder):
 
 @query("slice_spine")
 def _(spark, folder):
-    lo, hi = W.slot_range(C.with_slots(posts(spark, folder), HOUR))
+    lo, hi = W.slot_range(every_post(spark, folder))
     return W.slice_spine(spark, lo, hi).select(epoch("slot"))
 
 
@@ -529,20 +535,20 @@ def _(spark, folder):
 
 @query("slice_groups")
 def _(spark, folder):
-    rows = C.posts_per_slice(slotted(spark, folder))
+    rows = C.posts_per_slice(every_post(spark, folder))
     at = lambda c: TS.format_time(F.col(c), "epoch_s").alias(c)
     return rows.select(epoch("slot"), "posts", "users", at("first_at"), at("last_at"))
 
 
 @query("time_bounds")
 def _(spark, folder):
-    bounds = C.time_bounds(C.with_slots(posts(spark, folder), HOUR, 3))
+    bounds = C.time_bounds(C.with_slots(every_post(spark, folder), HOUR, 3))
     return bounds.select((F.col("first_slot") * HOUR).alias("first_s"), (F.col("last_slot") * HOUR).alias("last_s"))
 
 
 @query("slice_totals")
 def _(spark, folder):
-    return C.slice_totals(C.term_counts(slotted(spark, folder))).select(epoch("slot"), "total")
+    return C.slice_totals(C.term_counts(every_post(spark, folder))).select(epoch("slot"), "total")
 
 
 @query("vocab_size")
@@ -643,7 +649,29 @@ def _(spark, folder):
 
 @query("minor_window_merge")
 def _(spark, folder):
-    return count_rows(C.term_counts(slotted(spark, folder, minor=3)))
+    return count_rows(C.minor_counts(slotted(spark, folder), 3))
+
+
+def per_token(cells: DataFrame) -> DataFrame:
+    """Counts of all slots in one row per token."""
+    return cells.groupBy("token").agg(F.count("*").alias("slots"), F.sum("n").alias("total"), F.max("n").alias("most"))
+
+
+@query("minor_window_merge_long")
+def _(spark, folder):
+    """Minor windows of thirty hours; nothing is shuffled thirty times."""
+    return per_token(C.minor_counts(slotted(spark, folder), 30))
+
+
+@query("term_user_counts_events")
+def _(spark, folder):
+    """Distinct users per slot and token over all events, by token."""
+    return per_token(C.term_counts(every_post(spark, folder)))
+
+
+@query("term_post_counts_events")
+def _(spark, folder):
+    return per_token(C.term_counts(every_post(spark, folder, "learner"), by="post"))
 
 
 @query("gap_fill")
@@ -864,7 +892,7 @@ def _(spark, folder):
 
 @query("distinct_slices")
 def _(spark, folder):
-    return merge.distinct_slices(slotted(spark, folder, minor=3)).select(epoch("slot"))
+    return merge.distinct_slices(C.with_slots(every_post(spark, folder), HOUR, 3)).select(epoch("slot"))
 
 
 # --- adaptive thresholds --------------------------------------------------------------------

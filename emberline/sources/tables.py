@@ -11,10 +11,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def posts_from_tables(spark: SparkSession, folder: str) -> DataFrame:
+def posts_from_tables(spark: SparkSession, folder: str, every_event: bool = False) -> DataFrame:
     """Documents as posts, timed and attributed by the event with the same number.
 
-    The event's type is a hashtag of the post, and so is the source of posts with a large value.
+    The event's type is a hashtag of the post, and so is the source of posts with a large value.  With ``every_event`` every
+    event is a post: it has the text of the document whose number is the event's modulo the number of documents.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("post_id"), "text", "lang", "source")
@@ -29,7 +30,12 @@ def posts_from_tables(spark: SparkSession, folder: str) -> DataFrame:
     entities = extract_entities(F.col("text"))
     own = F.when(F.col("orig_repost_count") > 300, F.array("event_type", "source")).otherwise(F.array("event_type"))
     entities["hashtags"] = F.concat(entities["hashtags"], own)
-    posts = spread_small(docs).join(events, "post_id")
+    if every_event:
+        number = F.lit(max(docs.count(), 1))  # equally many events for every document, so none is a hot key
+        asked = spread_small(events).withColumn("doc_id", F.pmod("post_id", number))
+        posts = asked.join(docs.withColumnRenamed("post_id", "doc_id"), "doc_id").drop("doc_id")
+    else:
+        posts = spread_small(docs).join(events, "post_id")
     return posts.select("*", *[column.alias(name) for name, column in entities.items()]).drop("event_type")
 
 

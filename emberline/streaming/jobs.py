@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from emberline.conf import BurstConf
-from emberline.functions.timeslice import minor_slots, slot_of
-from emberline.operators.counts import term_counts
+from emberline.functions.timeslice import slot_of
+from emberline.operators.counts import minor_counts
 from emberline.operators.filters import filter_term_length
 from emberline.operators.folds import burst_levels
 from emberline.operators.matching import keep_max_hits, window_hits
@@ -170,8 +170,8 @@ def count_step(conf: BurstConf, folder: str, late_slots: int = 0, topics: int =
         closed = max(last - 1 - late_slots, done)
         if closed > done:
             near = memory.between("posts", POSTS, "own", done + 2 - conf.minor, closed)
-            spread = near.withColumn("slot", F.explode(minor_slots(F.col("own"), conf.minor)))
-            memory.replace("counts", term_counts(spread.filter(F.col("slot").between(done + 1, closed)), keys=("topic_id",)), "slot")
+            counted = minor_counts(near.withColumn("slot", F.col("own")), conf.minor, keys=("topic_id",))
+            memory.replace("counts", counted.filter(F.col("slot").between(done + 1, closed)), "slot")
         win = max(done + 1, first + conf.major - 1)
         if win <= closed:
             low = win - conf.major + 1
