@@ -1140,10 +1140,17 @@ def _(spark, folder):
 STREAM_CONF = CONF.with_(width=12 * HOUR, minor=1, major=3, burst_threshold=0.2, per_window_max=30)
 
 
+BURST_RUNS: dict[tuple[str, str], str] = {}  # finished runs of this session, by its id and the input
+
+
 def burst_folder(spark, folder) -> str:
-    memory = scratch_path(spark, "burst")
-    STREAM.burst_stream(post_stream(spark, folder), topics(spark), STREAM_CONF, memory, trigger={"availableNow": True}).awaitTermination()
-    return memory
+    """Tables of the burst job over all posts; the queries that read them share one run."""
+    run = spark.sparkContext.applicationId, folder
+    if run not in BURST_RUNS:
+        memory = scratch_path(spark, "burst")
+        STREAM.burst_stream(post_stream(spark, folder), topics(spark), STREAM_CONF, memory, trigger={"availableNow": True}).awaitTermination()
+        BURST_RUNS[run] = memory
+    return BURST_RUNS[run]
 
 
 @query("burst_stream")
