@@ -9,12 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from emberline.operators.filters import filter_burst
-from emberline.operators.novelty import max_similarity, rare_first, repeats, token_sets
-from emberline.operators.sizing import at_most
+from emberline.operators.novelty import max_similarity, token_sets
+from emberline.operators.overlap import comparable
 from emberline.sources.scratch import stage
 
-LAST_FLOOR = 0.03  # below this similarity, nearly all tokens of a set are keys
-
 
 def top_per_group(df: DataFrame, keys, order, k: int) -> DataFrame:
     """The first ``k`` rows of each group."""
@@ -76,73 +74,25 @@ def select_posts(
     chosen themselves.  Posts whose similarity exceeds ``threshold`` are out.  Of the rest
     ``similar_first`` takes the most similar and ``novel_first`` the least similar ones.
 
-    Exact similarities are only worked out in groups with more than ``k`` posts left, from the top
-    down: sets that reach a floor are settled, the others go on to the next floor.
+    Only candidates are asked for their similarity, history rows never are.
     """
     columns = [*scope, "id", "pos", "tokens"]
     compared = candidates.select(*columns)
     if history is not None:
         compared = compared.unionByName(history.select(*columns))
-    sets = stage(rare_first(token_sets(compared, scope)), "sets")
-    out = repeats(sets, threshold, scope)
-    posts = candidates.select("id", "created_at", *group)
-    left = stage(posts.join(sets.select("id"), "id", "left_semi").join(out, "id", "left_anti"), "survivors")
-    crowded = left.groupBy(*group).agg(F.count("*").alias("__n")).filter(F.col("__n") > k).select(*group)
-    crowded = stage(crowded, "crowded")
-    if at_most(crowded, 0):
-        return left.select("id", *group)
-    contested = left.join(crowded, list(group), "left_semi")
-    settled = _similarities(contested, sets, threshold, k, order, scope, group)
+    sets = comparable(stage(token_sets(compared, scope), "sets"))
+    posts = candidates.select("id", "created_at", *group).join(sets.select("id"), "id", "left_semi")
+    best = max_similarity(posts, sets, 0.0, scope)
+    left = posts.join(best, "id", "left").fillna(0.0, ["sim"]).filter(F.col("sim") <= threshold)
     direction = F.desc("sim") if order == "similar_first" else F.asc("sim")
-    chosen = top_per_group(settled, group, [direction, F.col("created_at"), F.col("id")], k)
-    rest = left.join(crowded, list(group), "left_anti")
-    return rest.select("id", *group).unionByName(chosen.select("id", *group))
-
-
-def _floors(threshold: float):
-    """The threshold, halved as long as a floor still spares comparisons, then 0."""
-    while threshold > LAST_FLOOR:
-        yield threshold
-        threshold /= 2
-    yield 0.0
-
-
-def _similarities(contested, sets, threshold, k, order, scope, group) -> DataFrame:
-    """Adds ``sim`` to contested posts, as far as the choice of ``k`` per group needs it.
-
-    A group is settled once ``k`` of its posts are known to be more similar than the rest
-    (``similar_first``), or once no more than ``k`` are left below the floor (``novel_first``): all of
-    those are chosen, and count as less similar than any other.  Only posts of open groups go on to the next floor.
-    """
-    open_, done = stage(contested, "open"), None
-    for floor in _floors(threshold):
-        best = max_similarity(open_, sets, floor, scope)
-        scored = open_.join(best, "id", "left")
-        if floor == 0.0:
-            scored = scored.fillna(0.0, ["sim"])
-        scored = stage(scored, "scored")
-        found = scored.filter("sim is not null")
-        done = found if done is None else done.unionByName(found)
-        open_ = scored.filter("sim is null").drop("sim")
-        if order == "similar_first":
-            # Whatever is still open is less similar than everything found.
-            enough = done.groupBy(*group).agg(F.count("*").alias("__n")).filter(F.col("__n") >= k).select(*group)
-            open_ = open_.join(enough, list(group), "left_anti")
-        elif k:
-            few = open_.groupBy(*group).agg(F.count("*").alias("__n")).filter(F.col("__n") <= k).select(*group)
-            done = done.unionByName(open_.join(few, list(group), "left_semi").withColumn("sim", F.lit(-1.0)))
-            open_ = open_.join(few, list(group), "left_anti")
-        if at_most(open_, 0):
-            break
-    return done
+    return top_per_group(left, group, [direction, F.col("created_at"), F.col("id")], k).select("id", *group)
 
 
 def with_similarity(compared: DataFrame, chosen: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
-    """Exact similarity of chosen posts with the earlier rows of ``compared``, from the top down.
+    """Exact similarity of chosen posts with the earlier rows of ``compared``.
 
     Chosen posts are few (at most k per group), so only their own tokens are looked up.
     """
-    sets = stage(rare_first(token_sets(compared.select(*scope, "id", "pos", "tokens"), scope)), "sets")
-    open_ = stage(chosen.select("id"), "open")
-    done = _similarities(open_.withColumn("__all", F.lit(0)), sets, 0.5, 0, "novel_first", scope, ("__all",))
-    return chosen.join(done.select("id", "sim"), "id", "left").fillna(0.0, ["sim"])
+    sets = comparable(stage(token_sets(compared.select(*scope, "id", "pos", "tokens"), scope), "sets"))
+    best = max_similarity(chosen.select("id"), sets, 0.0, scope)
+    return chosen.join(best, "id", "left").fillna(0.0, ["sim"])
