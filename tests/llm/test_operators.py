@@ -60,6 +60,19 @@ def test_private_patterns(table):
         assert ([r.n_email, r.n_ip, r.n_card, r.n_phone], r.base_sha256) == brute.private(dict(made)[r.doc_id])[:2]
 
 
+def test_private_fit_counts_every_candidate(table, monkeypatch):
+    staged = {}
+    known = pii.stage
+    monkeypatch.setattr(pii, "stage", lambda df, name: staged.setdefault(name, known(df, name)))
+    monkeypatch.setattr(pii, "MAX_CANDIDATES", 10, raising=False)
+    made = [(i, f"call +1 988 555 {1000 + i} or order 12-{i}-345678 by x{i}@y.org") for i in range(80)]
+    found = known(pii.with_candidates(table(made)), "spans")
+    pii.fit(found)
+    rows = staged["pii-candidates"]
+    counted = rows.agg(F.sum("n") if "n" in rows.columns else F.count("*")).first()[0]
+    assert counted == found.agg(F.sum(F.size("candidates") + F.size("forms"))).first()[0] > 100
+
+
 def test_private_chain_of_overlaps(spark):
     def candidate(start, end):
         return {"start": start, "end": end} | {name: 0 for name in pii.FEATURES} | {"length": end - start}
