@@ -64,6 +64,12 @@ def test_no_row_is_made_per_pair(spark, monkeypatch):
     assert not seen
 
 
+def test_posts_without_tokens_are_new(spark):
+    rows = [(1, 1, ["a"]), (2, 2, None), (3, 3, []), (4, 4, ["a"]), (5, 5, None)]
+    frame = spark.createDataFrame(rows, "id bigint, pos bigint, tokens array<string>")
+    assert {r.id: r.sim for r in N.novelty(frame, 0.3).collect()} == {1: 0.0, 2: 0.0, 3: 0.0, 4: 1.0, 5: 0.0}
+
+
 def test_tokens_with_equal_hashes_get_other_ones(spark, monkeypatch):
     real = F.xxhash64
     monkeypatch.setattr(F, "xxhash64", lambda token, seed: F.when(seed == 0, F.lit(7).cast("bigint")).otherwise(real(token, seed)))
