@@ -43,3 +43,26 @@ def test_every_event_is_a_post(spark):
     assert rows.count() == events.count() == rows.select("post_id").distinct().count()
     own = posts_from_tables(spark, folder).select("post_id", "text", "user_id", "created_at")
     assert own.exceptAll(rows.select("post_id", "text", "user_id", "created_at")).count() == 0
+
+
+@pytest.mark.parametrize("by", ["user", "post"])
+@pytest.mark.parametrize("keep_slots", [False, True])
+def test_term_counts_equal_distinct_users_with_repeats_and_nulls(spark, by, keep_slots):
+    draw = random.Random(7)
+    some = lambda n: draw.choice([None, *range(n)])
+    rows = [(some(90), some(4), some(5), draw.choice([None, [], draw.choices(["a", "b", "c", None], k=3)])) for _ in range(400)]
+    rows += [(i % 70, 9, 9, [draw.choice("abcdefg")]) for i in range(3 * C.FEW)]  # a crowded user, posts that come again
+    frame = spark.createDataFrame(rows, "post_id bigint, user_id bigint, slot bigint, tokens array<string>")
+    seen = {}
+    for post, user, slot, tokens in rows:
+        for token in set(tokens or ([None] if keep_slots else [])):
+            seen.setdefault((slot, token), set()).add(user if by == "user" else post)
+    want = sorted(((s, t, len(u - {None})) for (s, t), u in seen.items()), key=lambda r: (str(r[0]), str(r[1])))
+    got = C.term_counts(frame, by, keep_slots).collect()
+    assert sorted(((r.slot, r.token, r.n) for r in got), key=lambda r: (str(r[0]), str(r[1]))) == want
+
+
+def test_no_token_is_shuffled_for_posts_dealt_by_slot(spark):
+    frame = spark.createDataFrame([(1, 1, 1, ["a"])], "post_id bigint, user_id bigint, slot bigint, tokens array<string>")
+    plan = C.term_counts(frame.repartition("slot"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
