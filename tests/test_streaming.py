@@ -187,3 +187,25 @@ def test_term_history_on_a_stream(spark, parts, tmp_path):
     assert sorted(tuple(r) for r in kept.collect()) == wanted
     state_rows = state.read_histories(spark, f"{memory}/checkpoint", 0).groupBy("token").count().collect()
     assert max(r["count"] for r in state_rows) <= 4
+
+
+def test_counts_keep_a_row_per_user_and_window(spark, tmp_path):
+    """Sets of tokens are state, with null tokens, and posts without a user, as one user, over a bounded number of rows."""
+    at = lambda hour: (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=hour, minutes=5)).to_pydatetime()
+    rows = [(1, at(0), ["a", "b", None]), (1, at(0), ["b", "c"]), (2, at(0), ["a"]), (None, at(0), ["a", "d"]), (None, at(0), ["d"]), (1, at(1), ["a"])]
+    rows += [(3, at(0), [f"w{i}" for i in range(300)])]
+    spark.createDataFrame(rows, "user_id bigint, created_at timestamp, tokens array<string>").write.parquet(f"{tmp_path}/in/part=0")
+    conf = BurstConf(width=3600, minor=1)
+
+    def work(name):
+        stream = spark.readStream.schema("user_id bigint, created_at timestamp, tokens array<string>").parquet(f"{tmp_path}/in/part=*")
+        counts = prepare.stream_counts(stream, conf, "0 seconds", keys=())
+        with state.keyed_state(spark):
+            q = counts.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return max(op["numRowsTotal"] for p in q.recentProgress[:1] for op in p["stateOperators"])
+
+    assert work("first") <= 4 + 2  # users 1, 2, 3 and two tokens without a user in the first hour, user 1 in the second
+    got = {(r.slot - 473352, r.token): r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = {(0, "a"): 3, (0, "b"): 1, (0, "c"): 1, (0, "d"): 1, (0, None): 1, **{(0, f"w{i}"): 1 for i in range(300)}}
+    assert {k: v for k, v in got.items() if k[0] == 0} == want
