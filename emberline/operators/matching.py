@@ -5,12 +5,17 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from emberline.functions.text import all_words, match_words, ngrams, text_runs
+from emberline.operators import sizing
 from emberline.operators.sizing import BROADCAST_ROWS, broadcast_if_bytes
 from emberline.sources.scratch import stage
 
+MEETINGS = 1 << 20  # posts beside topics that ask for one of their terms, held at a time
 GRAM = 4  # characters of the key a substring is looked up by
 
 
@@ -51,10 +56,9 @@ def _relevance(hits: Column, weight: Column, terms: Column, length: Column) -> C
 def topic_scores(posts: DataFrame, topics: DataFrame, op: str = "or", keep: tuple[str, ...] | None = None) -> DataFrame:
     """One row per post and matching topic with its ``score``.
 
-    Every distinct unit of a post that may be a term looks its topics up in a table by term, which is broadcast while it is
-    small.  A row found that way carries the topic's terms, so the score is worked out in the row; of the
-    rows of one post and topic, the one of the first unit found is kept.  No post is aggregated: the same
-    plan serves batches and streams, for any number of terms.
+    While the topics' terms are within the bounds of a broadcast, every task holds them with the topics that ask for each, and
+    counts and scores the topics of its posts in the rows (:func:`_scorer`).  Beyond that, every distinct unit of a post that may
+    be a term looks its topics up in a table by term.  No post is aggregated: the same plan serves batches and streams.
     """
     keep = tuple(keep or posts.columns)
     terms = query_terms(topics).filter(F.size("terms") > 0)
@@ -62,10 +66,14 @@ def topic_scores(posts: DataFrame, topics: DataFrame, op: str = "or", keep: tupl
     facts = per_term.agg(
         F.count("*").alias("rows"),
         F.coalesce(F.sum(F.length("__term") + F.length(F.array_join("terms", " ")) + 64), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum(4 * F.length("__term") + 32), F.lit(0)).alias("own_bytes"),
         F.collect_set(F.size(F.split("__term", " "))).alias("lengths"),
     ).first()
-    lookup = broadcast_if_bytes(per_term, 1, facts.bytes)
     framed = _with_units(posts, sorted(set(facts.lengths) - {1}))
+    if facts.own_bytes <= sizing.BROADCAST_BYTES:
+        found = _scorer(terms, op)(F.col("units"), F.col("length"))
+        return framed.select(*keep, found.alias("__found")).select(*keep, F.inline("__found"))
+    lookup = broadcast_if_bytes(per_term, 1, facts.bytes)
     asked = framed.withColumn("units", F.filter("units", _maybe_in(per_term, facts.rows)))
     units = asked.select(*keep, "units", "length", F.explode(F.array_distinct("units")).alias("__term"))
     found = units.join(lookup, "__term").withColumn("own", F.array_intersect("units", "terms"))
@@ -79,6 +87,55 @@ def topic_scores(posts: DataFrame, topics: DataFrame, op: str = "or", keep: tupl
     return first.select(*keep, "topic_id", score.alias("score"))
 
 
+def _scorer(terms: DataFrame, op: str):
+    """A function of posts' units and lengths: per post the topics it matches, with their scores.
+
+    The terms and, per term, the topics that ask for it come to the driver and go to the tasks; the caller checks their size.
+    """
+    asked = terms.select("topic_id", "terms").toArrow()
+    ids, lists = (asked.column(name).combine_chunks() for name in ("topic_id", "terms"))
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    code = coded.indices.to_numpy()
+    by_term = np.repeat(np.arange(len(ids)), sizes)[np.argsort(code, kind="stable")]
+    askers = np.bincount(code, minlength=len(coded.dictionary))
+    begin = np.cumsum(askers) - askers
+
+    def score(units: pa.Array, lengths: pa.Array) -> pa.Array:
+        term = pc.index_in(units.flatten(), value_set=coded.dictionary)
+        row = np.repeat(np.arange(len(units)), pc.fill_null(pc.list_value_length(units), 0).to_numpy())
+        known = pc.is_valid(term).to_numpy(zero_copy_only=False)
+        uses, tf = np.unique(row[known] * len(askers) + term.drop_null().to_numpy(), return_counts=True)
+        row, term = uses // max(1, len(askers)), uses % max(1, len(askers))
+        ends = np.cumsum(askers[term])
+        found, low = [], 0
+        while low < len(row):  # as many posts at a time as ask for MEETINGS topics, one at least
+            high = int(np.searchsorted(ends, (ends[low - 1] if low else 0) + MEETINGS, side="right"))
+            high = int(np.searchsorted(row, row[min(high, len(row) - 1)])) if high < len(row) else high
+            high = max(high, int(np.searchsorted(row, row[low], side="right")))
+            n = askers[term[low:high]]
+            topic = by_term[np.repeat(begin[term[low:high]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            pair, at = np.unique(np.repeat(row[low:high], n) * len(ids) + topic, return_inverse=True)
+            own, weight = np.bincount(at), np.bincount(at, weights=np.repeat(np.sqrt(tf[low:high]), n))
+            if op == "and":
+                whole = own == sizes[pair % len(ids)]
+                pair, own, weight = pair[whole], own[whole], weight[whole]
+            found.append((pair, own, weight))
+            low = high
+        pair, own, weight = (np.concatenate(c) for c in zip((np.empty(0, np.int64),) * 2 + (np.empty(0),), *found))
+        row, topic = pair // max(1, len(ids)), pair % max(1, len(ids))
+        hits = np.bincount(row, minlength=len(units))
+        length = pc.fill_null(lengths, 0).to_numpy()[row]
+        base = 1 + math.log(0.5)
+        norm = 1 / np.sqrt(own * base**2 + (sizes[topic] - own))
+        scores = (own / sizes[topic]) * weight * base**2 * norm / np.sqrt(np.maximum(length, 1))
+        rows = pa.StructArray.from_arrays([ids.take(pa.array(topic)), pa.array(scores, pa.float64())], names=["topic_id", "score"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(hits)]), pa.int32()), rows)
+
+    topic_type = terms.schema["topic_id"].dataType.simpleString()
+    return F.arrow_udf(score, f"array<struct<topic_id:{topic_type},score:double>>")
+
+
 def _maybe_in(per_term: DataFrame, rows: int):
     """A test that every term passes and few other strings do: one byte per hash slot, as a literal.
 
