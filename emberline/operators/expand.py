@@ -9,6 +9,7 @@ from emberline.functions.text import STOP_WORDS, post_tokens, with_bigrams
 from emberline.operators.counts import kl_gain, unigram_model
 from emberline.operators.filters import filter_lang, filter_reposts, filter_valid
 from emberline.operators.matching import topic_scores
+from emberline.operators.sizing import broadcast_if_small
 from emberline.operators.select import top_gain, top_hashtags, top_with_ties
 from emberline.sources.scratch import stage
 
@@ -38,7 +39,8 @@ def expand_topics(
     matches = stage(scored.filter(F.col("score") > conf.match_threshold), "matches")
     totals = matches.groupBy("topic_id").agg(F.count("*").alias("matches"))
     enough = totals.filter(F.col("matches") >= conf.min_post_count).select("topic_id")
-    usable = matches.join(enough, "topic_id", "left_semi")
+    # Few topics have all the matches: joined on the topic, whole texts' tokens would meet in as many tasks as there are topics.
+    usable = matches.join(broadcast_if_small(stage(enough, "usable")), "topic_id", "left_semi")
 
     background = unigram_model(prepared.select(F.explode("tokens").alias("token")))
     best = top_with_ties(usable.select("topic_id", "score", "tokens"), conf.max_relevant_posts)

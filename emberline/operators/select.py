@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from emberline.operators.filters import filter_burst
 from emberline.operators.novelty import max_similarity, token_sets
 from emberline.operators.overlap import comparable
+from emberline.operators.sizing import broadcast_if_small
 from emberline.sources.scratch import stage
 
 
@@ -39,7 +40,7 @@ def burst_terms(scores: DataFrame, threshold: float, min_length: int, k: int | N
 def top_with_ties(scored: DataFrame, k: int, keys: tuple[str, ...] = ("topic_id",)) -> DataFrame:
     """Rows scoring at least as high as the group's k-th best (all rows of smaller groups)."""
     kth = top_per_group(scored.select(*keys, "score"), keys, [F.desc("score")], k)
-    bound = kth.groupBy(*keys).agg(F.min("score").alias("__kth"))
+    bound = broadcast_if_small(stage(kth.groupBy(*keys).agg(F.min("score").alias("__kth")), "bounds"))  # whole rows stay where they are
     return scored.join(bound, list(keys)).filter(F.col("score") >= F.col("__kth")).drop("__kth")
 
 
