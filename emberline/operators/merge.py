@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from emberline.functions.text import strip_punct_tokens
-from emberline.operators.novelty import HOT_KEY, SIGNATURE, candidate_pairs, meetings, prefix_entries, rare_first, verified
+from emberline.operators.novelty import HOT_KEY, candidate_pairs, meetings, prefix_entries, rare_first, verified
 from emberline.operators.sizing import at_most
 from emberline.sources.scratch import stage
 
@@ -71,7 +71,7 @@ def merge_near_duplicates(feeds: DataFrame, threshold: float) -> DataFrame:
     sets = sets.orderBy("pos").withColumn("id", F.monotonically_increasing_id())
     sets = stage(sets.withColumn("size", F.size("tokens")), "rows")
     texts = stage(rare_first(sets.select("id", F.col("id").alias("pos"), "tokens", "size")), "sets")
-    entries = prefix_entries(texts, threshold).withColumn("key", F.xxhash64("key"))  # equal hashes only add candidates
+    entries = prefix_entries(texts, threshold)
     named = sets.filter("several").select("id", "pos.topic", "pos.post_id")
     passed = _first_independent(stage(entries, "entries"), stage(named, "named"), texts, sets.select("id"), threshold)
     keys = ["arrival", "feed", "topic", "post_id"]
@@ -129,13 +129,13 @@ def _first_conflicts(
     met = asked_named.join(heads, ["topic", "post_id"]).filter(F.col("other") < F.col("id")).select("id", "other")
     crowded = None
     if bound:
-        crowded = present.groupBy("key").agg(F.min(F.struct("pos", "id", "size", *SIGNATURE)).alias("h"), F.count("*").alias("n"))
+        crowded = present.groupBy("key").agg(F.min(F.struct("pos", "id", "size", "place")).alias("h"), F.count("*").alias("n"))
         crowded = stage(crowded.filter(F.col("n") >= HOT_KEY).select("key", "h.*"), "heads")
         crowded = None if at_most(crowded, 0) else crowded
     free = asked
     if crowded is not None:
         pairs = meetings(asked, crowded, floor).select(F.col("l.id").alias("id"), F.col("r.id").alias("other")).distinct()
-        like_heads = stage(verified(pairs, sets, floor).filter(F.col("sim") >= floor).select("id", "other"), "met")
+        like_heads = stage(verified(pairs, sets).filter(F.col("sim") >= floor).select("id", "other"), "met")
         tied = asked.join(like_heads.groupBy("id").agg(F.min("other").alias("bound")), "id")
         caps = tied.groupBy("key").agg(F.max("bound").alias("cap"))
         before = present.join(caps, "key").filter(F.col("pos") < F.col("cap")).drop("cap")
@@ -145,7 +145,7 @@ def _first_conflicts(
         met = met.unionByName(like_heads)
     found = candidate_pairs(free, present, floor)
     found = found if crowded is None else found.unionByName(earlier)
-    similar = verified(found, sets, floor).filter(F.col("sim") >= floor).select("id", "other")
+    similar = verified(found, sets).filter(F.col("sim") >= floor).select("id", "other")
     bounds = met.groupBy("id").agg(F.min("other").alias("bound"))
     edges = similar.unionByName(met).distinct().join(bounds, "id", "left")
     edges = edges.filter(F.col("bound").isNull() | (F.col("other") <= F.col("bound")))
