@@ -17,47 +17,56 @@ def with_slots(posts: DataFrame, width: int, minor: int = 1) -> DataFrame:
     return posts.withColumn("slot", F.explode(minor_slots(own, minor)))
 
 
-def term_counts(posts: DataFrame, by: str = "user", keep_slots: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+def term_counts(
+    posts: DataFrame, by: str = "user", keep_slots: bool = False, keys: tuple[str, ...] = (), parts: int | None = None
+) -> DataFrame:
     """Distinct users (or posts) per slot and token: ``(*keys, slot, token, n)``.
 
     Whole posts meet by slot and user, not single tokens: a token that an earlier post of the same user and slot has is left out
     of the later ones, and what is left is counted without telling users apart.  Users with over ``FEW`` posts in a slot are told
-    apart token by token.  Posts that are dealt by slot are not shuffled again.  ``keep_slots`` adds a row with a
-    null token for slots whose posts have no tokens, so that the time range is not lost.
+    apart token by token.  Posts that are dealt by slot are not shuffled again.  With ``parts`` (``parts_for``) posts and
+    then uses are dealt over so many partitions.  ``keep_slots`` adds a row with a null token for slots whose posts have no
+    tokens, so that the time range is not lost.
     """
     who = "user_id" if by == "user" else "post_id"
     own = F.array_distinct("tokens")
     if keep_slots:
         own = F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(None).cast("string")))
     rows = posts.select(*keys, "slot", who, own.alias("tokens"))
+    rows = rows.repartition(parts, *keys, "slot", who) if parts else rows
     group = Window.partitionBy(*keys, "slot", who)
     earlier = F.flatten(F.collect_list("tokens").over(group.rowsBetween(-FEW, -1)))
     met = rows.select("*", F.count("*").over(group).alias("posts"), earlier.alias("earlier"))
     few = F.col("posts") <= FEW
     left = F.when(few & (F.size("earlier") > 0), F.array_except("tokens", "earlier")).otherwise(F.col("tokens"))
     uses = met.select(*keys, "slot", who, few.alias("few"), F.explode(left).alias("token"))
+    uses = uses.repartition(parts, *keys, "slot", "token") if parts else uses
     told = F.when(F.col("few"), None).otherwise(F.col(who))
     n = F.count(F.when(F.col("few"), F.col(who))) + F.count_distinct(told)
     return uses.groupBy(*keys, "slot", "token").agg(n.alias("n"))
 
 
-def minor_counts(posts: DataFrame, minor: int, by: str = "user", keep_slots: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+def minor_counts(
+    posts: DataFrame, minor: int, by: str = "user", keep_slots: bool = False, keys: tuple[str, ...] = (), parts: int | None = None
+) -> DataFrame:
     """``term_counts`` of posts that count for their own ``slot`` and the next ``minor - 1``.
 
     No post is copied: a user's use of a token holds from its slot up to the next use or the end of the minor window, which
     are two marks, +1 and -1. Marks are summed per token and slot, and a running sum over a token's slots gives the number of
-    users between two marks. What is shuffled doesn't depend on ``minor``.
+    users between two marks. What is shuffled doesn't depend on ``minor``. ``parts`` is the number of partitions of uses and marks.
     """
     if minor == 1:
-        return term_counts(posts, by, keep_slots, keys)
+        return term_counts(posts, by, keep_slots, keys, parts)
     who = "user_id" if by == "user" else "post_id"
     unnest = F.explode_outer if keep_slots else F.explode
     rows = posts.select(*keys, "slot", who, unnest(F.array_distinct("tokens")).alias("token")).filter(F.col("slot").isNotNull() & F.col(who).isNotNull())
-    uses = rows.repartition(*keys, "token", who).distinct()  # dealt as the next step needs it
+    deal = lambda df, *by: df.repartition(parts, *by) if parts else df.repartition(*by)
+    uses = deal(rows, *keys, "token", who).distinct()  # dealt as the next step needs it
     end = F.col("slot") + minor
     stop = F.least(end, F.coalesce(F.lead("slot").over(Window.partitionBy(*keys, "token", who).orderBy("slot")), end))
     mark = lambda at, change: F.struct(F.col(at).alias("slot"), F.lit(change).cast("bigint").alias("change"))
     marks = uses.withColumn("stop", stop).select(*keys, "token", F.inline(F.array(mark("slot", 1), mark("stop", -1))))
+    marks = deal(marks, *keys, "token") if parts else marks
     steps = marks.groupBy(*keys, "token", "slot").agg(F.sum("change").alias("change")).filter("change <> 0")
     line = Window.partitionBy(*keys, "token").orderBy("slot")
     running = steps.select(

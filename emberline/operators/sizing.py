@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 128 * 1024 * 1024
+POSTS = 2_000  # posts whose tokens are a task's share of a shuffle
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
@@ -26,3 +27,8 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def broadcast_if_bytes(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Same decision from a row count the caller already knows."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def parts_for(posts: DataFrame) -> int:
+    """Number of partitions for the tokens of posts: what one task holds doesn't grow with the table."""
+    return max(int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-posts.count() // POSTS))

@@ -12,6 +12,7 @@ from emberline.operators.filters import filter_burst, filter_lang, filter_repost
 from emberline.operators.matching import assign_topics, gate_posts, keyword_match, match_any_topic, match_posts
 from emberline.operators.scores import burst_scores, window_stats
 from emberline.operators.select import burst_terms, select_posts
+from emberline.operators.sizing import parts_for
 from emberline.operators.windows import burst_ranges, slot_range
 from emberline.sources.posts import parse_posts
 from emberline.sources.scratch import stage
@@ -38,7 +39,7 @@ def window_counts(
     if min_tokens:
         empty = F.expr("cast(array() as array<string>)")
         prepared = prepared.withColumn("tokens", F.when(F.size("tokens") >= min_tokens, F.col("tokens")).otherwise(empty))
-    counts = stage(minor_counts(prepared, conf.minor, by, keep_slots=True), "counts")
+    counts = stage(minor_counts(prepared, conf.minor, by, keep_slots=True, parts=parts_for(posts)), "counts")
     bounds = slot_range(counts)
     if bounds is None:
         return None

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.operators import matching as M, novelty as N, select as L
+from emberline.operators import counts as C, matching as M, novelty as N, select as L, sizing
 from emberline.sources.topics import topics_frame
 from tests.test_plans import plan_of, shuffles
 
@@ -44,3 +44,18 @@ def test_topics_rows_stay_where_they_are(spark):
     best = L.top_with_ties(rows, 3)
     assert not shuffles(plan_of(best))  # all rows of a topic would meet in one task
     assert best.count() == 71 and {r.score for r in best.collect()} == {6.0}
+
+
+def test_counts_by_parts_are_the_same(spark):
+    draw = random.Random(9)
+    rows = [(i // 2, draw.choice([1, 2, 3, None]), draw.choice([5, 6, 7, 9, None]), draw.sample("abcdef", draw.randrange(4))) for i in range(200)]
+    posts = spark.createDataFrame(rows, "post_id bigint, user_id bigint, slot bigint, tokens array<string>")
+    for count in (lambda **k: C.term_counts(posts, keep_slots=True, **k), lambda **k: C.minor_counts(posts, 3, keep_slots=True, **k)):
+        known = sorted(map(str, count().collect()))
+        assert sorted(map(str, count(parts=11).collect())) == known
+
+
+def test_parts_follow_the_posts(spark, monkeypatch):
+    monkeypatch.setattr(sizing, "POSTS", 10)
+    texts = spark.range(95).select(F.col("id").alias("post_id"), F.lit("x y").alias("text"))
+    assert sizing.parts_for(texts) == 10 and sizing.parts_for(texts.limit(3)) == 4
