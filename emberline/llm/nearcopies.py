@@ -8,10 +8,12 @@ their whole sets of word shingles are compared (by 32-bit hashes of them).
 
 Texts whose shingles have the similarity 0.8 differ in about a tenth to a sixth of the bits, so all eight
 segments differ by two bits or more for a few per cent of such pairs: these are not found. Everything that is linked
-has the asked similarity. Variants with more than ``DENSE`` members are cut into runs of neighbouring
+has the asked similarity. Variants with more than ``DENSE`` members are first cut into runs of neighbouring
 fingerprints, each compared in itself and with the first members. Where a variant's members have over ``MANY`` candidate pairs
-each, every member is paired with the smallest one of those connected to it, so a large group of near copies makes about one
-pair per member and variant; a link that only holds between two other members can be lost there.
+each, every member is first paired with the smallest one of those connected to it, so a large group of near copies makes about one
+pair per member and variant. Members of such variants meet once more after that, and every pair within ``REACH`` bits whose members
+are not yet in one group is compared as well (``remaining``): no link of a variant is lost. That second meeting holds a slice of a
+variant's pairs at a time; its work grows with the square of a variant's members.
 
 Defined cases (for `deduplicate`): texts without words are copies of each other; equal fingerprints count as copies; of a
 group the document with the smallest id stays, one without an id only if no member has one; of repeated rows one
@@ -29,6 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from emberline.llm.components import components
 from emberline.llm.wordhash import NOT_BLANK, Powers, Words, bounded, mixed
+from emberline.operators.sizing import broadcast_if_bytes
 from emberline.sources.scratch import stage
 
 SEGMENTS, BITS = 8, 16
@@ -38,6 +41,7 @@ FIRST = 64
 MANY = 4
 PAIRS = "a bigint, b bigint"
 CHARS = 1 << 19  # bytes of text that are worked on at a time
+ROW = 128  # bytes of a document's id and key in a broadcast table
 PIECE = 1 << 16  # shingles whose bits are held at a time
 
 
@@ -127,7 +131,7 @@ def _near(low: np.ndarray, high: np.ndarray, rows: slice, others: slice) -> tupl
 
 
 def _linked(node: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one key's members: all of them, or a forest where they are very many."""
+    """Candidate pairs of one key's members: all of them, or a forest and every member with itself where they are very many."""
     n = len(node)
     blocks = [(slice(at, min(n, at + DENSE)), at) for at in range(0, n, DENSE)]
     label = np.arange(n)
@@ -156,36 +160,31 @@ def _linked(node: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.nda
         np.minimum.at(first, label, node)
         first = first[label]
         rest = first != node
-        return first[rest], node[rest]
+        return np.concatenate([first[rest], node]), np.concatenate([node[rest], node])
     a, b = np.concatenate(all_a), np.concatenate(all_b)
-    return np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+    cut = node if n > DENSE else node[:0]
+    return np.concatenate([np.minimum(node[a], node[b]), cut]), np.concatenate([np.maximum(node[a], node[b]), cut])
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket and fingerprint: candidate pairs, one bucket's rows in memory at a time."""
+def _variants(bucket: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[np.ndarray]:
+    """Keys under which fingerprints of a bucket meet whose segments' other halves differ by one bit at most."""
+    segment, half = bucket >> (BITS // 2 + 1), bucket >> (BITS // 2) & 1
+    word = np.where(segment < SEGMENTS // 2, low, high)
+    shift = BITS * (segment % (SEGMENTS // 2)) + BITS // 2 * (1 - half)
+    other = (word >> shift.astype(np.uint64)).astype(np.int64) & ((1 << BITS // 2) - 1)
+    for bit in range(BITS // 2):
+        yield bucket.astype(np.int64) << (BITS // 2) | other & ~(1 << bit)
 
-    def pairs(bucket: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[list, list]:
-        """Pairs of whole buckets whose segments' other halves differ by one bit at most."""
-        segment, half = bucket >> (BITS // 2 + 1), bucket >> (BITS // 2) & 1
-        word = np.where(segment < SEGMENTS // 2, low, high)
-        shift = BITS * (segment % (SEGMENTS // 2)) + BITS // 2 * (1 - half)
-        other = (word >> shift.astype(np.uint64)).astype(np.int64) & ((1 << BITS // 2) - 1)
-        out_a, out_b = [], []
-        for bit in range(BITS // 2):
-            key = bucket.astype(np.int64) << (BITS // 2) | other & ~(1 << bit)
-            order = np.argsort(key, kind="stable")
-            for a, b in _equal_keys(key[order], node[order], low[order], high[order]):
-                out_a.append(a)
-                out_b.append(b)
-        return out_a, out_b
 
+def _whole_buckets(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by bucket, cut between buckets; the first ones are bucket, node, low and high."""
     rest = None
     for batch in chain(batches, [None]):
         if batch is None:
             columns, last = rest, len(rest[0]) if rest is not None else 0
         else:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "node", "low", "high")]
-            columns[2:] = [c.view(np.uint64) for c in columns[2:]]  # bits are only counted right without a sign
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            columns[2:4] = [c.view(np.uint64) for c in columns[2:4]]  # bits are only counted right without a sign
             if rest is not None:
                 columns = [np.concatenate(p) for p in zip(rest, columns)]
             if not len(columns[0]):
@@ -193,9 +192,43 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = int(np.searchsorted(columns[0], columns[0][-1]))
             rest = [c[last:] for c in columns]
         if last:
-            a, b = pairs(*[c[:last] for c in columns])
-            found = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
+            yield [c[:last] for c in columns]
+
+
+def _pairs_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    found = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket and fingerprint: candidate pairs, one bucket's rows in memory at a time."""
+    for bucket, node, low, high in _whole_buckets(batches, ["bucket", "node", "low", "high"]):
+        out_a, out_b = [], []
+        for key in _variants(bucket, low, high):
+            order = np.argsort(key, kind="stable")
+            for a, b in _equal_keys(key[order], node[order], low[order], high[order]):
+                out_a.append(a)
+                out_b.append(b)
+        yield _pairs_batch(out_a, out_b)
+
+
+def _meet_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket: all candidate pairs of different labels, a slice of a variant's pairs in memory at a time."""
+    for bucket, node, low, high, label in _whole_buckets(batches, ["bucket", "node", "low", "high", "label"]):
+        for key in _variants(bucket, low, high):
+            order = np.argsort(key, kind="stable")
+            edges = np.flatnonzero(np.diff(key[order], prepend=key[order[:1]] - 1))
+            for own in np.split(order, edges[1:]):
+                if len(own) < 2 or (label[own] == label[own[0]]).all():
+                    continue
+                step = max(1, (1 << 20) // len(own))
+                for begin in range(0, len(own), step):
+                    a, b = _near(low[own], high[own], slice(begin, min(len(own), begin + step)), slice(begin, len(own)))
+                    a, b = own[a], own[b]
+                    apart = label[a] != label[b]
+                    if apart.any():
+                        a, b = node[a[apart]], node[b[apart]]
+                        yield _pairs_batch([np.minimum(a, b)], [np.maximum(a, b)])
 
 
 def _equal_keys(key: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -213,13 +246,24 @@ def _equal_keys(key: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.nda
 
 
 def candidates(distinct: DataFrame) -> DataFrame:
-    """(a, b) pairs of nodes whose fingerprints (node, low, high) meet on a key and are within REACH bits."""
+    """(a, b) pairs of nodes whose fingerprints (node, low, high) meet on a key and are within REACH bits.
+
+    Where a key has more of them than are returned, its members are also returned as pairs with themselves.
+    """
+    return _dealt(distinct, "low", "high").mapInArrow(_meet, PAIRS).distinct()
+
+
+def remaining(labelled: DataFrame) -> DataFrame:
+    """(a, b) all such pairs of the nodes (node, low, high, label) whose labels differ."""
+    return _dealt(labelled, "low", "high", "label").mapInArrow(_meet_again, PAIRS).distinct()
+
+
+def _dealt(distinct: DataFrame, *columns: str) -> DataFrame:
     spark = distinct.sparkSession
-    entries = distinct.select(F.explode(_buckets()).alias("bucket"), "node", "low", "high")
+    entries = distinct.select(F.explode(_buckets()).alias("bucket"), "node", *columns)
     rows = distinct.count() * 2 * SEGMENTS
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // 1_000_000))
-    dealt = entries.repartition(parts, "bucket").sortWithinPartitions("bucket", "low", "high")
-    return dealt.mapInArrow(_meet, PAIRS).distinct()
+    return entries.repartition(parts, "bucket").sortWithinPartitions("bucket", "low", "high")
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -253,9 +297,17 @@ def groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, finger_widt
     pairs = stage(candidates(first), "candidates")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     owners = stage(first.join(asked, "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")), "owners")
-    texts = docs.select("doc_id", "text", text_key().alias("_own")).join(owners, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_own").eqNullSafe(F.col("_key")))
+    few = broadcast_if_bytes(owners, owners.count(), ROW)  # texts are not shuffled for them while they are few
+    texts = docs.select("doc_id", "text", text_key().alias("_own")).join(few, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_own").eqNullSafe(F.col("_key")))
     sets = stage(shingle_sets(texts, width), "shingles").dropDuplicates(["node"])
-    labels = components(stage(verified(pairs, sets, similarity), "near-copies"))
+    links = stage(verified(pairs.filter("a <> b"), sets, similarity), "near-copies")
+    labels = components(links)
+    cut = first.join(pairs.filter("a = b").select(F.col("a").alias("node")), "node", "left_semi")
+    if not cut.isEmpty():
+        cut = cut.join(labels, "node", "left").select("node", "low", "high", F.coalesce("label", "node").alias("label"))
+        more = stage(remaining(stage(cut, "cut-variants")), "remaining")
+        links = links.unionByName(stage(verified(more, sets, similarity), "more-near-copies"))
+        labels = components(links)
     labelled = first.join(labels, "node", "left").select("low", "high", "first", F.coalesce("label", "node").alias("label"))
     tops = labelled.groupBy("label").agg(F.min("first").alias("component"))
     by_print = labelled.join(tops, "label").select(F.col("low").alias("_low"), F.col("high").alias("_high"), "component")
@@ -271,7 +323,8 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     kept = kept.groupBy(F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_key")).agg(F.count("*").alias("__rows"))
     kept = stage(kept, "kept-documents")
     same = F.col("doc_id").eqNullSafe(F.col("__kept_id")) & text_key().eqNullSafe(F.col("__kept_key"))
-    once = docs.join(kept.filter("__rows = 1"), same, "left_semi")
+    few = broadcast_if_bytes(kept.filter("__rows = 1"), kept.count(), ROW)
+    once = docs.join(few, same, "left_semi")
     repeated = kept.filter("__rows > 1")
     if repeated.isEmpty():
         return once
