@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.operators import counts as C, matching as M, novelty as N, select as L, sizing
+from emberline.operators import counts as C, matching as M, merge, novelty as N, select as L, sizing
 from emberline.sources.topics import topics_frame
 from tests.test_plans import plan_of, shuffles
 
@@ -59,3 +59,12 @@ def test_parts_follow_the_posts(spark, monkeypatch):
     monkeypatch.setattr(sizing, "POSTS", 10)
     texts = spark.range(95).select(F.col("id").alias("post_id"), F.lit("x y").alias("text"))
     assert sizing.parts_for(texts) == 10 and sizing.parts_for(texts.limit(3)) == 4
+
+
+def test_rows_without_text_pass_beside_near_duplicates(spark):
+    rows = [(0, "f", "a", 1, "one two three"), (1, "f", "a", 2, None), (2, "f", "b", 3, None), (3, "f", "a", 4, "one two three four"), (4, "f", "c", 5, "")]
+    frame = spark.createDataFrame(rows, "arrival bigint, feed string, topic string, post_id bigint, text string")
+    ordered = N.rare_first(frame.select(F.col("arrival").alias("id"), F.col("arrival").alias("pos"), F.split("text", " ").alias("tokens")).withColumn("size", F.size("tokens")))
+    assert sorted(r.id for r in ordered.collect()) == [0, 3, 4]
+    got = merge.merge_near_duplicates(frame, 0.5).select("arrival")
+    assert sorted(r.arrival for r in got.collect()) == [0, 1, 4]
