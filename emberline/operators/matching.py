@@ -16,6 +16,7 @@ from emberline.operators.sizing import BROADCAST_ROWS, broadcast_if_bytes
 from emberline.sources.scratch import stage
 
 MEETINGS = 1 << 20  # posts beside topics that ask for one of their terms, held at a time
+LISTED = 1_000  # terms of a window that are compared with every post searched for them, at most
 GRAM = 4  # characters of the key a substring is looked up by
 
 
@@ -280,6 +281,27 @@ def window_hits(
     return placed.groupBy(*keys, "win", "post_id").agg(F.count("*").alias("hits"))
 
 
+def listed_hits(posts: DataFrame, terms: DataFrame, reach: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``window_hits`` by substring, for windows with few terms (``LISTED`` at most; others are looked up).
+
+    ``terms`` names a term once per key and window.  Each searched post meets its windows' lists of terms, so no
+    word of a text is exploded or shuffled; where rows of a post share a slot, terms found in several of them count once.
+    """
+    named = terms.filter(F.col("token").rlike(r"[^ \t\n]"))
+    size = F.sum(F.length("token") * 4 + 32)
+    facts = named.groupBy(*keys, "win").agg(F.count("*").alias("n"), size.alias("bytes")).agg(F.max("n").alias("most"), F.sum("bytes").alias("bytes")).first()
+    if (facts.most or 0) > LISTED:
+        return window_hits(posts, terms, reach, keys)
+    lists = broadcast_if_bytes(named.groupBy(*keys, "win").agg(F.collect_list("token").alias("__terms")), 1, facts.bytes or 0)
+    searched = posts.select(*keys, "post_id", "slot", F.lower("text").alias("__text"))
+    searched = searched.withColumn("win", F.explode(F.sequence("slot", F.col("slot") + (reach - 1))))
+    places = F.sequence(F.lit(1), F.size("__terms"))
+    found = F.filter(places, lambda i: F.contains(F.col("__text"), F.element_at("__terms", i)))
+    rows = searched.join(lists, [*keys, "win"]).select(*keys, "win", "post_id", "slot", found.alias("found")).filter(F.size("found") > 0)
+    per_slot = rows.groupBy(*keys, "win", "post_id", "slot").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("hits"))
+    return per_slot.groupBy(*keys, "win", "post_id").agg(F.sum("hits").alias("hits"))
+
+
 def keep_max_hits(hits: DataFrame, keys: tuple[str, ...] = ("win",), column: str = "hits") -> DataFrame:
     """Posts that reach the largest count of their group."""
     best = hits.groupBy(*keys).agg(F.max(column).alias("__best"))

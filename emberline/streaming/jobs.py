@@ -13,13 +13,17 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from emberline.conf import BurstConf
+from emberline.functions.similarity import jaccard
 from emberline.functions.timeslice import slot_of
 from emberline.operators.counts import minor_counts
 from emberline.operators.filters import filter_term_length
 from emberline.operators.folds import burst_levels
-from emberline.operators.matching import keep_max_hits, window_hits
+from emberline.operators.matching import keep_max_hits, listed_hits
+from emberline.operators.novelty import max_similarity, token_sets
+from emberline.operators.overlap import comparable
 from emberline.operators.scores import burst_scores
-from emberline.operators.select import best_terms, select_posts, with_similarity
+from emberline.operators.select import best_terms, select_posts, top_per_group
+from emberline.operators.sizing import broadcast_if_small
 from emberline.operators.windows import slot_range
 from emberline.sources import sinks
 from emberline.sources.scratch import stage
@@ -31,6 +35,7 @@ PROGRESS = "first_slot bigint, last_slot bigint, closed bigint"
 POSTS = "topic_id string, post_id bigint, user_id bigint, created_at timestamp, text string, tokens array<string>, own bigint, batch bigint"
 LEVELS = "topic_id string, win bigint, low bigint, high bigint, n bigint"
 SCORES = "topic_id string, token string, score double, win bigint"
+CANDIDATES = "topic_id string, post_id bigint, created_at timestamp, text string, tokens array<string>, hits bigint, near double, win bigint"
 DELIVERED = "topic_id string, post_id bigint, text string, tokens array<string>, sim double, hits bigint, win bigint"
 TERMS = "topic_id string, token string, score double, threshold double, win bigint"
 THRESHOLDS = "topic_id string, threshold double"
@@ -122,27 +127,45 @@ def score_closed(history: DataFrame, major: int, keys: tuple[str, ...] = ("topic
 
 # --- the burst job --------------------------------------------------------------------------
 
-def select_closed(
-    posts: DataFrame, terms: DataFrame, delivered: DataFrame, win: int, conf: BurstConf
-) -> DataFrame:
-    """Posts one closed window delivers: ``(topic_id, win, post_id, text, tokens, sim, hits)``.
+def closed_candidates(posts: DataFrame, terms: DataFrame, conf: BurstConf) -> DataFrame:
+    """Candidates of closed windows, all windows at once: ``CANDIDATES``.
 
-    Per topic the posts of the minor window with most bursting terms, oldest first, unless they
-    resemble a delivered post or an earlier candidate; the least similar ones are taken.
+    Per topic and window the posts of the minor window with most bursting terms; ``near`` is the largest similarity with an
+    earlier one of them.  Of equal token sets only the earliest post is a candidate.  Nothing here depends on what was delivered.
     """
-    topic = ("topic_id",)
+    group = ("topic_id", "win")
     slots = posts.withColumn("slot", F.col("own"))
-    hits = window_hits(slots.drop("own"), terms, conf.minor, topic).filter(F.col("win") == win)
-    best = keep_max_hits(hits, topic).join(posts.dropDuplicates(["topic_id", "post_id"]), ["topic_id", "post_id"])
-    fresh = best.join(delivered.select("topic_id", "post_id"), ["topic_id", "post_id"], "left_anti")
-    ident = F.struct("topic_id", "post_id")
-    fresh = stage(fresh.select("*", ident.alias("id"), F.struct(F.lit(1).alias("age"), "created_at", "post_id").alias("pos")), "fresh")
-    zero = F.lit(None).cast("timestamp").alias("created_at")
-    history = delivered.select("topic_id", "tokens", ident.alias("id"), F.struct(F.lit(0).alias("age"), zero, "post_id").alias("pos"))
-    chosen = stage(select_posts(fresh, conf.sim_threshold, conf.per_window_max, "novel_first", topic, topic, history), "chosen")
-    compared = fresh.select("topic_id", "id", "pos", "tokens").unionByName(history.select("topic_id", "id", "pos", "tokens"))
-    sims = with_similarity(compared, chosen, topic).select("id", "sim")
-    return fresh.join(sims, "id").select("topic_id", "win", "post_id", "text", "tokens", "sim", "hits")
+    hits = stage(listed_hits(slots, terms, conf.minor, ("topic_id",)), "hits")
+    best = broadcast_if_small(stage(keep_max_hits(hits, group), "best"))
+    searched = posts.withColumn("win", F.explode(F.sequence("own", F.col("own") + (conf.minor - 1))))
+    rows = searched.join(best, [*group, "post_id"]).dropDuplicates([*group, "post_id"])
+    rows = stage(rows.select("*", F.struct(*group, "post_id").alias("id"), F.struct("created_at", "post_id").alias("pos")), "most-hits")
+    sets = comparable(stage(token_sets(rows, group), "sets"))
+    firsts = rows.join(sets.select("id"), "id", "left_semi")
+    near = firsts.join(max_similarity(firsts, sets, 0.0, group), "id", "left").fillna(0.0, ["sim"])
+    return near.select("topic_id", "post_id", "created_at", "text", "tokens", "hits", F.col("sim").alias("near"), "win")
+
+
+def choose_closed(candidates: DataFrame, delivered: DataFrame, conf: BurstConf) -> DataFrame:
+    """Posts one closed window delivers: ``(topic_id, win, post_id, text, tokens, sim, hits)``.
+
+    Candidates that resemble a delivered post or an earlier candidate are out; the least similar ones are taken, per topic.
+    """
+    ids = ["topic_id", "post_id"]
+    old = delivered.select("topic_id", F.col("tokens").alias("__old"))
+    seen = candidates.join(old, "topic_id").groupBy(*ids).agg(F.max(jaccard(F.col("tokens"), F.col("__old"))).alias("__seen"))
+    fresh = candidates.join(delivered.select(*ids), ids, "left_anti").join(seen, ids, "left").fillna(0.0, ["__seen"])
+    novel = fresh.filter("__seen < 1").withColumn("sim", F.greatest("near", "__seen")).filter(F.col("sim") <= conf.sim_threshold)
+    chosen = top_per_group(novel, ("topic_id",), [F.asc("sim"), F.col("created_at"), F.col("post_id")], conf.per_window_max)
+    return chosen.select("topic_id", "win", "post_id", "text", "tokens", "sim", "hits")
+
+
+def select_closed(
+    posts: DataFrame, terms: DataFrame, delivered: DataFrame, win: int, conf: BurstConf
+) -> DataFrame:
+    """``choose_closed`` among the candidates of one closed window."""
+    found = closed_candidates(posts, terms.filter(F.col("win") == win), conf)
+    return choose_closed(stage(found, "closed-candidates"), delivered, conf)
 
 
 def count_step(conf: BurstConf, folder: str, late_slots: int = 0, topics: int = 1):
@@ -190,8 +213,8 @@ def count_step(conf: BurstConf, folder: str, late_slots: int = 0, topics: int =
 def deliver_step(conf: BurstConf, folder: str, publish: "Outputs | None" = None):
     """Step of the burst job over decided windows ``(topic_id, win, bursts, level, next_level)``.
 
-    Terms of all windows are found in one go; choosing posts goes window by window, because each window is
-    compared with what the earlier ones delivered.
+    Terms and candidates of all windows are found in one go; only the choice among a window's candidates goes window by window,
+    because each is compared with what the earlier ones delivered.
     """
 
     def step(batch: DataFrame, number: int) -> None:
@@ -212,13 +235,17 @@ def deliver_step(conf: BurstConf, folder: str, publish: "Outputs | None" = None)
             terms = best_terms(terms, conf.search_terms, ("topic_id", "win"))
         memory.replace("terms", terms.select("topic_id", "token", "score", "threshold", "win"), "win")
         terms = memory.between("terms", TERMS, "win", wins[0], wins[-1])
-        for win in sorted(r.win for r in terms.select("win").distinct().collect()):
-            window = memory.between("posts", POSTS, "own", win - conf.minor + 1, win).drop("batch")
+        searched = sorted(r.win for r in terms.select("win").distinct().collect())
+        if searched:
+            posts = memory.between("posts", POSTS, "own", searched[0] - conf.minor + 1, searched[-1]).drop("batch")
+            memory.replace("candidates", closed_candidates(posts, terms, conf), "win")
+        for win in searched:
+            candidates = memory.between("candidates", CANDIDATES, "win", win, win)
             if conf.horizon is None:
                 delivered = memory.all("delivered", DELIVERED).filter(F.col("win") < win)
             else:
                 delivered = memory.between("delivered", DELIVERED, "win", win - conf.horizon + 1, win - 1)
-            chosen = select_closed(window, terms.filter(F.col("win") == win), delivered, win, conf)
+            chosen = choose_closed(candidates, delivered, conf)
             memory.replace("delivered", chosen.select("topic_id", "post_id", "text", "tokens", "sim", "hits", "win").coalesce(1), "win")
         if publish:
             publish.write(memory, wins, conf)
