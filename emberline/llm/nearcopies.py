@@ -11,9 +11,10 @@ segments differ by two bits or more for a few per cent of such pairs: these are
 has the asked similarity. Variants with more than ``DENSE`` members are first cut into runs of neighbouring
 fingerprints, each compared in itself and with the first members. Where a variant's members have over ``MANY`` candidate pairs
 each, every member is first paired with the smallest one of those connected to it, so a large group of near copies makes about one
-pair per member and variant. Members of such variants meet once more after that, and every pair within ``REACH`` bits whose members
-are not yet in one group is compared as well (``remaining``): no link of a variant is lost. That second meeting holds a slice of a
-variant's pairs at a time; its work grows with the square of a variant's members.
+pair per member and variant. Members of such variants meet once more after that, with their shingle sets, and every pair within ``REACH``
+bits whose members are not yet in one group is compared as well (``remaining``): no link of a variant is lost. The comparison is made
+where they meet: pairs are not rows, only links that join two groups come out. That second meeting holds a bucket's sets and a slice of
+a variant's pairs at a time; its work grows with the square of a variant's members.
 
 Defined cases (for `deduplicate`): texts without words are copies of each other; equal fingerprints count as copies; of a
 group the document with the smallest id stays, one without an id only if no member has one; of repeated rows one
@@ -42,7 +43,8 @@ MANY = 4
 PAIRS = "a bigint, b bigint"
 CHARS = 1 << 19  # bytes of text that are worked on at a time
 ROW = 128  # bytes of a document's id and key in a broadcast table
-PIECE = 1 << 16  # shingles whose bits are held at a time
+PIECE = 1 << 16  # shingles whose bits, or pairs whose bins, are held at a time
+BINS = 64  # a power of two
 
 
 def text_key() -> Column:
@@ -212,23 +214,70 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs_batch(out_a, out_b)
 
 
-def _meet_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: all candidate pairs of different labels, a slice of a variant's pairs in memory at a time."""
-    for bucket, node, low, high, label in _whole_buckets(batches, ["bucket", "node", "low", "high", "label"]):
-        for key in _variants(bucket, low, high):
-            order = np.argsort(key, kind="stable")
-            edges = np.flatnonzero(np.diff(key[order], prepend=key[order[:1]] - 1))
-            for own in np.split(order, edges[1:]):
-                if len(own) < 2 or (label[own] == label[own[0]]).all():
-                    continue
-                step = max(1, (1 << 20) // len(own))
-                for begin in range(0, len(own), step):
-                    a, b = _near(low[own], high[own], slice(begin, min(len(own), begin + step)), slice(begin, len(own)))
-                    a, b = own[a], own[b]
-                    apart = label[a] != label[b]
-                    if apart.any():
-                        a, b = node[a[apart]], node[b[apart]]
-                        yield _pairs_batch([np.minimum(a, b)], [np.maximum(a, b)])
+def _first_meeting(low: np.ndarray, high: np.ndarray, place: int, bit: int) -> np.ndarray:
+    """Whether pairs that differ in these bits meet in the variant ``bit`` of the bucket ``place`` (segment and half) and nowhere before it."""
+    first = np.ones(len(low), bool)
+    for at in range(place + 1):
+        segment, half = divmod(at, 2)
+        word = low if segment < SEGMENTS // 2 else high
+        shift = BITS * (segment % (SEGMENTS // 2))
+        fixed, other = (word >> np.uint64(shift + BITS // 2 * h) & np.uint64((1 << BITS // 2) - 1) for h in (half, 1 - half))
+        if at < place:
+            first &= (fixed != 0) | (np.bitwise_count(other) > 1)
+        else:
+            first &= (other == 1 << bit) | ((other == 0) if bit == 0 else False)
+    return first
+
+
+def _bins(sets: list[np.ndarray]) -> np.ndarray:
+    """Per set the number of its shingles in each of ``BINS`` bins: two sets have at most the bins' smaller numbers in common."""
+    sizes = [len(s) for s in sets]
+    codes = np.concatenate(sets).view(np.uint32) & np.uint32(BINS - 1)
+    rows = np.repeat(np.arange(len(sets)), sizes) * BINS
+    return np.bincount(rows + codes, minlength=len(sets) * BINS).reshape(-1, BINS).astype(np.int32)
+
+
+def _links_again(similarity: float):
+    """Rows sorted by bucket: links that join all labels of a bucket's candidate pairs with at least the similarity.
+
+    A pair is compared in the first variant it meets in only, and not if verified links of the task already join its members. What
+    is returned is a forest over a bucket's labels, so it has fewer rows than the bucket has members.
+    """
+
+    def similar(both, total):
+        return both >= similarity * (total - both) - 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, node, low, high, label, sets in _whole_buckets(batches, ["bucket", "node", "low", "high", "label", "shingles"]):
+            names, group = np.unique(label, return_inverse=True)
+            top = np.arange(len(names))
+            size, bins = np.fromiter(map(len, sets), np.int64, len(sets)), _bins(list(sets))
+            out_a, out_b = [node[:0]], [node[:0]]
+            for bit, key in enumerate(_variants(bucket, low, high)):
+                order = np.argsort(key, kind="stable")
+                edges = np.flatnonzero(np.diff(key[order], prepend=key[order[:1]] - 1))
+                for own in np.split(order, edges[1:]):
+                    if len(own) < 2 or (top[group[own]] == top[group[own[0]]]).all():
+                        continue
+                    step = max(1, (1 << 20) // len(own))
+                    for begin in range(0, len(own), step):
+                        left, right = _near(low[own], high[own], slice(begin, min(len(own), begin + step)), slice(begin, len(own)))
+                        for at in range(0, len(left), PIECE):
+                            a, b = own[left[at : at + PIECE]], own[right[at : at + PIECE]]
+                            apart = top[group[a]] != top[group[b]]
+                            a, b = a[apart], b[apart]
+                            met = _first_meeting(low[a] ^ low[b], high[a] ^ high[b], int(bucket[own[0]]) >> BITS // 2, bit)
+                            a, b = a[met], b[met]
+                            maybe = similar(np.minimum(bins[a], bins[b]).sum(axis=1), size[a] + size[b])
+                            for i, j in zip(a[maybe].tolist(), b[maybe].tolist()):
+                                x, y = top[group[i]], top[group[j]]
+                                if x != y and similar(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), size[i] + size[j]):
+                                    top[top == max(x, y)] = min(x, y)
+                                    out_a.append(np.minimum(node[[i]], node[[j]]))
+                                    out_b.append(np.maximum(node[[i]], node[[j]]))
+            yield _pairs_batch(out_a, out_b)
+
+    return run
 
 
 def _equal_keys(key: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -253,9 +302,9 @@ def candidates(distinct: DataFrame) -> DataFrame:
     return _dealt(distinct, "low", "high").mapInArrow(_meet, PAIRS).distinct()
 
 
-def remaining(labelled: DataFrame) -> DataFrame:
-    """(a, b) all such pairs of the nodes (node, low, high, label) whose labels differ."""
-    return _dealt(labelled, "low", "high", "label").mapInArrow(_meet_again, PAIRS).distinct()
+def remaining(labelled: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) links of at least the similarity that join what all such pairs of the nodes (node, low, high, label, shingles) join."""
+    return _dealt(labelled, "low", "high", "label", "shingles").mapInArrow(_links_again(similarity), PAIRS).distinct()
 
 
 def _dealt(distinct: DataFrame, *columns: str) -> DataFrame:
@@ -305,8 +354,8 @@ def groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, finger_widt
     cut = first.join(pairs.filter("a = b").select(F.col("a").alias("node")), "node", "left_semi")
     if not cut.isEmpty():
         cut = cut.join(labels, "node", "left").select("node", "low", "high", F.coalesce("label", "node").alias("label"))
-        more = stage(remaining(stage(cut, "cut-variants")), "remaining")
-        links = links.unionByName(stage(verified(more, sets, similarity), "more-near-copies"))
+        cut = stage(cut.join(sets, "node"), "cut-variants")
+        links = links.unionByName(stage(remaining(cut, similarity), "more-near-copies"))
         labels = components(links)
     labelled = first.join(labels, "node", "left").select("low", "high", "first", F.coalesce("label", "node").alias("label"))
     tops = labelled.groupBy("label").agg(F.min("first").alias("component"))
