@@ -17,6 +17,7 @@ from emberline.sources.scratch import stage
 
 MEETINGS = 1 << 20  # posts beside topics that ask for one of their terms, held at a time
 LISTED = 1_000  # terms of a window that are compared with every post searched for them, at most
+FEW_TERMS = 64  # terms that are looked for in every text, at most
 GRAM = 4  # characters of the key a substring is looked up by
 
 
@@ -190,6 +191,7 @@ def substring_matches(posts: DataFrame, terms: DataFrame, keep: tuple[str, ...]
     compared with the terms once for the whole corpus, looked up by the terms' first characters,
     and posts join the resulting (stretch, term) table on equality: no pair of post and term is
     formed that does not match.  Terms with blanks use their longest part and are verified.
+    A few terms (``FEW_TERMS`` at most) are looked for in every text instead: no word leaves its row.
     ``terms`` is read several times: pass a small or staged table.
     """
     ids = ["post_id", *keep]
@@ -204,6 +206,10 @@ def substring_matches(posts: DataFrame, terms: DataFrame, keep: tuple[str, ...]
     ).first()
     if facts.terms == 0:
         return posts.select(*ids, F.lit("").alias("term")).limit(0)
+    if facts.terms <= FEW_TERMS:
+        found = [F.when(F.contains(F.col("__text"), F.lit(r.term)), F.lit(r.term)) for r in keyed.select("term").collect()]
+        texts = posts.select(*ids, F.lower("text").alias("__text"))
+        return texts.select(*ids, F.explode(F.array_compact(F.array(*found))).alias("term")).distinct()
     runs = posts.select(*ids, F.explode(text_runs(F.col("text"))).alias("run"))
     grams = F.array_distinct(F.concat(*[_pieces(F.col("run"), n) for n in sorted(facts.lengths)]))
     vocabulary = runs.select("run").distinct().select("run", F.explode(grams).alias("gram"))
@@ -237,6 +243,7 @@ def keyword_match(posts: DataFrame, topics: DataFrame) -> DataFrame:
     terms = topic_tokens(topics).select("term").distinct()
     if posts.isStreaming:
         return posts.filter(_contains_any(F.lower("text"), sorted(r.term for r in terms.collect())))
+    posts = stage(posts, "searched")  # parsed and filtered once, read by every branch
     ids = substring_matches(posts, terms).select("post_id").distinct()
     return posts.join(ids, "post_id", "left_semi")
 

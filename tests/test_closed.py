@@ -41,3 +41,17 @@ def test_windows_of_a_trigger_share_one_search(spark, tmp_path, monkeypatch):
         delivered = memory.all("delivered", jobs.DELIVERED).select("win", "post_id", F.round("sim", 3)).collect()
         assert sorted(map(tuple, delivered)) == [(0, 0, 0.0), (1, 1, 0.2), (3, 3, 0.2)]
     assert len(searches) == 2
+
+
+@pytest.mark.parametrize("few", [64, 0])
+def test_few_terms_are_looked_for_in_the_rows(spark, monkeypatch, few):
+    """The same matches either way: inside words, with blanks, over line ends, repeated and null rows; no word is shuffled for few terms."""
+    rows = [(1, 5, "In the Storm"), (1, 5, "In the Storm"), (2, 5, "in\nthe rain"), (3, 6, None), (None, 6, "restorm"), (4, 7, "")]
+    posts = spark.createDataFrame(rows, "post_id bigint, slot bigint, text string")
+    terms = spark.createDataFrame([("storm",), ("in the",), (" ",), ("ain",), ("none",)], "term string")
+    monkeypatch.setattr(matching, "FEW_TERMS", few)
+    staged = []
+    monkeypatch.setattr(matching, "stage", lambda df, name, stage=matching.stage: staged.append(name) or stage(df, name))
+    found = matching.substring_matches(posts, terms, ("slot",)).collect()
+    assert sorted(map(tuple, found), key=str) == sorted([(1, 5, "storm"), (1, 5, "in the"), (2, 5, "ain"), (None, 6, "storm")], key=str)
+    assert bool(staged) == (few == 0)
