@@ -76,3 +76,43 @@ def test_tokens_with_equal_hashes_get_other_ones(spark, monkeypatch):
     frame = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"])], "id bigint, tokens array<string>")
     marks = [m for r in overlap.marked(frame).collect() for m in r.marks]
     assert len(set(marks)) == 3
+
+
+@pytest.mark.parametrize("order", ["similar_first", "novel_first"])
+@pytest.mark.parametrize("scope", [(), ("win",)])
+def test_many_candidates_are_chosen_as_few_are(spark, order, scope, monkeypatch):
+    """Exact similarities are only worked out for posts that can be chosen."""
+    draw = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, draw.randrange(400), draw.choice([1, 2, 3, None]), draw.sample(words, draw.randrange(12))) for i in range(600)]
+    frame = spark.createDataFrame(rows, "id bigint, pos bigint, win bigint, tokens array<string>").withColumn("created_at", F.timestamp_seconds("pos"))
+    chosen = lambda: sorted(map(str, L.select_posts(frame, 0.3, 5, order, scope=scope).collect()))
+    known = chosen()
+    asked, best = [], L.max_similarity
+    monkeypatch.setattr(L, "max_similarity", lambda left, sets, floor, scope: asked.append((left.count(), floor)) or best(left, sets, floor, scope))
+    monkeypatch.setattr(L, "FEW", 0)
+    monkeypatch.setattr(L, "HEADS", 60)
+    assert chosen() == known and known
+    assert sum(n for n, floor in asked if not floor) < 300  # all candidates before
+
+
+def test_a_side_compared_with_itself_is_dealt_once(spark):
+    draw = random.Random(5)
+    rows = [(i, i, [f"w{k}" for k in range(20)] + [f"x{i}y{k}" for k in range(draw.choice([5, 90]))]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "id bigint, pos bigint, tokens array<string>").withColumn("size", F.size("tokens"))
+    sets = overlap.comparable(frame)
+    best = overlap.best_similarity(sets, sets, 0.3)
+    assert "CoGroup" not in best._jdf.queryExecution().toString()
+    table = sets.select(*[F.col(c.strip("_")).alias(c) for c in overlap.COMPARED]).toArrow()
+    found = overlap._best(0.3)(table, [table])
+    assert {r.node: r.sim for r in best.collect()} == dict(zip(found["node"].to_pylist(), found["sim"].to_pylist()))
+    assert found.num_rows
+
+
+def test_of_a_crowd_only_the_earliest_pair_is_kept(spark):
+    rows = [(i, i, ["a", "b", f"x{i // 40}"]) for i in range(80)] + [(80, 80, ["q", "r"]), (81, 81, ["q", "r", "s"])]
+    sets = overlap.comparable(spark.createDataFrame(rows, "id bigint, pos bigint, tokens array<string>").withColumn("size", F.size("tokens")))
+    names = {r.node: r.id for r in sets.collect()}
+    pairs = sorted((names[r.node], names[r.other], r.more) for r in overlap.first_pairs(sets, sets, 0.6, 5).collect())
+    want = [(i, j, False) for x in (0, 40) for i in range(x, x + 5) for j in range(x, i)] + [(i, i // 40 * 40, True) for i in [*range(5, 40), *range(45, 80)]]
+    assert pairs == sorted(want + [(81, 80, False)])
