@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from emberline.functions.text import strip_punct_tokens
-from emberline.operators.novelty import HOT_KEY, candidate_pairs, meetings, prefix_entries, rare_first, verified
+from emberline.operators.novelty import HOT_KEY
+from emberline.operators.overlap import comparable, first_pairs
 from emberline.operators.sizing import at_most
 from emberline.sources.scratch import stage
 
-FEW_ENTRIES = 100_000  # keys of rows that are looked up without bounds
+FEW_ENTRIES = 1_000  # rows for which far more conflicts are looked up
 
 def union_all(frames) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
@@ -49,47 +50,40 @@ def merge_near_duplicates(feeds: DataFrame, threshold: float) -> DataFrame:
     its topic and id did not pass before and its text is less similar than ``threshold`` to every
     text that passed, whatever its topic.
 
-    That is the lexicographically first maximal independent set of the conflict graph.  Edges are worked out once per
-    row, up to the first one that the earliest row of a crowded key gives away, so a large group of near
+    That is the lexicographically first maximal independent set of the conflict graph.  Similar rows are found block against
+    block, so neither pairs nor keys are shuffled.  Of a row with very many conflicts only the earliest is kept, so a large group of near
     copies has about one edge per member; the rounds run over the table of edges alone.  Rows whose known conflicts all
-    fell are looked up again, against what passed and what is open too.
+    fell are looked up again, against what passed and what is open too.  Until the sets are compared, a token set stands as its SHA-256.
     """
-    rows = feeds.select(
-        F.struct("arrival", "feed", "topic", "post_id").alias("pos"),
-        F.array_sort(F.array_distinct(strip_punct_tokens(F.col("text")))).alias("tokens"),
-    )
+    tokens = F.array_sort(F.array_distinct(strip_punct_tokens(F.col("text"))))  # no token has a space
+    rows = feeds.select(F.struct("arrival", "feed", "topic", "post_id").alias("pos"), tokens.alias("tokens"))
+    rows = rows.withColumn("key", F.unhex(F.sha2(F.array_join("tokens", " "), 256)))
     # Repeated deliveries, then copies under other ids.  A copy shares the fate "rejected" of the
     # first one unless the first fell to its own id, which takes an id with several texts.
-    first = rows.groupBy("pos.topic", "pos.post_id", "tokens").agg(F.min("pos").alias("pos")).select("pos", "tokens")
+    first = rows.groupBy("pos.topic", "pos.post_id", "key").agg(F.min("pos").alias("pos")).select("pos", "key")
     first = stage(first, "deliveries")
     texts = first.groupBy("pos.topic", "pos.post_id").agg(F.count("*").alias("n")).filter("n > 1")
     on = [F.col("pos.topic") == F.col("t.topic"), F.col("pos.post_id") == F.col("t.post_id")]
     several = first.join(texts.alias("t"), on, "left_semi").withColumn("several", F.lit(True))
-    single = first.join(texts.alias("t"), on, "left_anti").groupBy("tokens").agg(F.min("pos").alias("pos"))
+    single = first.join(texts.alias("t"), on, "left_anti").groupBy("key").agg(F.min("pos").alias("pos"))
     sets = several.unionByName(single.withColumn("several", F.lit(False)))
     # From here on a row is a number that grows with its place in the order of arrival.
-    sets = sets.orderBy("pos").withColumn("id", F.monotonically_increasing_id())
-    sets = stage(sets.withColumn("size", F.size("tokens")), "rows")
-    texts = stage(rare_first(sets.select("id", F.col("id").alias("pos"), "tokens", "size")), "sets")
-    entries = prefix_entries(texts, threshold)
+    sets = stage(sets.orderBy("pos").withColumn("id", F.monotonically_increasing_id()), "rows")
+    texts = rows.select("key", "tokens").dropDuplicates(["key"]).join(sets.select("key", "id"), "key")
+    texts = stage(texts.select("id", F.col("id").alias("pos"), "tokens", F.size("tokens").alias("size")), "sets")
+    texts = comparable(texts).withColumn("node", F.col("id"))
     named = sets.filter("several").select("id", "pos.topic", "pos.post_id")
-    passed = _first_independent(stage(entries, "entries"), stage(named, "named"), texts, sets.select("id"), threshold)
+    passed = _first_independent(texts, stage(named, "named"), sets.select("id"), threshold)
     keys = ["arrival", "feed", "topic", "post_id"]
     return feeds.join(sets.join(passed, "id", "left_semi").select("pos.*"), keys, "left_semi").dropDuplicates(keys)
 
 
-def _first_independent(entries: DataFrame, named: DataFrame, sets: DataFrame, ids: DataFrame, floor: float) -> DataFrame:
+def _first_independent(sets: DataFrame, named: DataFrame, ids: DataFrame, floor: float) -> DataFrame:
     """Ids of the lexicographically first maximal independent set."""
     passed, asked = None, ids
+    similar = _similar(sets, sets, floor, HOT_KEY)
+    edges = _first_conflicts(similar, named, named)
     while True:
-        if passed is None:
-            edges = _first_conflicts(entries, named, entries, named, sets, floor, bound=True)
-        else:
-            live = passed.unionByName(asked)
-            own = stage(entries.join(asked, "id", "left_semi"), "asked")
-            own_named, present = named.join(asked, "id", "left_semi"), entries.join(live, "id", "left_semi")
-            bound = not at_most(own, FEW_ENTRIES)
-            edges = _first_conflicts(own, own_named, present, named.join(live, "id", "left_semi"), sets, floor, bound)
         verdicts = _decide(asked, edges, passed)
         kept = verdicts.filter("good").select("id")
         passed = kept if passed is None else stage(passed.unionByName(kept), "passed")
@@ -97,6 +91,20 @@ def _first_independent(entries: DataFrame, named: DataFrame, sets: DataFrame, id
         if at_most(asked, 0):
             return passed
         asked = stage(asked, "undecided")
+        live = passed.unionByName(asked)
+        open_edges = similar.join(asked, "id", "left_semi")
+        crowded = stage(open_edges.filter("more").select("id").distinct(), "crowded")
+        known = open_edges.join(crowded, "id", "left_anti").join(live.withColumnRenamed("id", "other"), "other", "left_semi").select(similar.columns)
+        if not at_most(crowded, 0):
+            crowd = 100 * HOT_KEY if at_most(crowded, FEW_ENTRIES) else HOT_KEY
+            known = known.unionByName(_similar(sets.join(crowded, "id", "left_semi"), sets.join(live, "id", "left_semi"), floor, crowd))
+        similar = stage(known, "similar")
+        edges = _first_conflicts(similar, named.join(asked, "id", "left_semi"), named.join(live, "id", "left_semi"))
+
+
+def _similar(asked: DataFrame, present: DataFrame, floor: float, crowd: int) -> DataFrame:
+    """``(id, other, more)``: conflicts of sets with earlier ones; with ``more`` later ones may exist."""
+    return stage(first_pairs(asked, present, floor, crowd).withColumnRenamed("node", "id"), "similar")
 
 
 def _decide(ids: DataFrame, edges: DataFrame, passed: DataFrame | None) -> DataFrame:
@@ -116,37 +124,13 @@ def _decide(ids: DataFrame, edges: DataFrame, passed: DataFrame | None) -> DataF
     return verdicts
 
 
-def _first_conflicts(
-    asked: DataFrame, asked_named: DataFrame, present: DataFrame, present_named: DataFrame, sets: DataFrame, floor: float, bound: bool
-) -> DataFrame:
+def _first_conflicts(similar: DataFrame, asked_named: DataFrame, present_named: DataFrame) -> DataFrame:
     """``(id, other, more)`` conflicts of the asked rows with earlier ones; ``more`` says that later ones may exist.
 
-    A row first meets the earliest row with its id and (with ``bound``) the earliest row of each of its crowded keys.  If
-    it conflicts with one of these, only rows before that one count: on a key, none but those before the latest
-    such bound can matter.
+    They are the similar rows and the earliest row with the same id.
     """
     heads = present_named.groupBy("topic", "post_id").agg(F.min("id").alias("other"))
     met = asked_named.join(heads, ["topic", "post_id"]).filter(F.col("other") < F.col("id")).select("id", "other")
-    crowded = None
-    if bound:
-        crowded = present.groupBy("key").agg(F.min(F.struct("pos", "id", "size", "place")).alias("h"), F.count("*").alias("n"))
-        crowded = stage(crowded.filter(F.col("n") >= HOT_KEY).select("key", "h.*"), "heads")
-        crowded = None if at_most(crowded, 0) else crowded
-    free = asked
-    if crowded is not None:
-        pairs = meetings(asked, crowded, floor).select(F.col("l.id").alias("id"), F.col("r.id").alias("other")).distinct()
-        like_heads = stage(verified(pairs, sets).filter(F.col("sim") >= floor).select("id", "other"), "met")
-        tied = asked.join(like_heads.groupBy("id").agg(F.min("other").alias("bound")), "id")
-        caps = tied.groupBy("key").agg(F.max("bound").alias("cap"))
-        before = present.join(caps, "key").filter(F.col("pos") < F.col("cap")).drop("cap")
-        earlier = meetings(tied, before, floor).filter(F.col("r.pos") < F.col("l.bound"))
-        earlier = earlier.select(F.col("l.id").alias("id"), F.col("r.id").alias("other")).distinct()
-        free = asked.join(like_heads, "id", "left_anti")
-        met = met.unionByName(like_heads)
-    found = candidate_pairs(free, present, floor)
-    found = found if crowded is None else found.unionByName(earlier)
-    similar = verified(found, sets).filter(F.col("sim") >= floor).select("id", "other")
-    bounds = met.groupBy("id").agg(F.min("other").alias("bound"))
-    edges = similar.unionByName(met).distinct().join(bounds, "id", "left")
-    edges = edges.filter(F.col("bound").isNull() | (F.col("other") <= F.col("bound")))
-    return stage(edges.select("id", "other", F.col("bound").isNotNull().alias("more")), "conflicts")
+    part = similar.filter("more").select("id").unionByName(met.select("id")).distinct().withColumn("more", F.lit(True))
+    edges = similar.select("id", "other").unionByName(met).distinct().join(part, "id", "left")
+    return stage(edges.select("id", "other", F.coalesce("more", F.lit(False)).alias("more")), "conflicts")

@@ -68,3 +68,19 @@ def test_rows_without_text_pass_beside_near_duplicates(spark):
     assert sorted(r.id for r in ordered.collect()) == [0, 3, 4]
     got = merge.merge_near_duplicates(frame, 0.5).select("arrival")
     assert sorted(r.arrival for r in got.collect()) == [0, 1, 4]
+
+
+def test_near_duplicates_make_no_row_per_meeting(spark, monkeypatch):
+    """Texts that share many words and aren't similar leave no row, nor do their keys meet in a join."""
+    joined, known = [], N.meetings
+    monkeypatch.setattr(N, "meetings", lambda *a, **k: joined.append(known(*a, **k)) or joined[-1])
+    monkeypatch.setattr(merge, "meetings", N.meetings, raising=False)
+    edges, conflicts = [], merge._first_conflicts
+    monkeypatch.setattr(merge, "_first_conflicts", lambda *a, **k: edges.append(conflicts(*a, **k)) or edges[-1])
+    draw = random.Random(2)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, "f", "a", i, " ".join(draw.sample(words, 30))) for i in range(300)]
+    rows += [(300 + i, "f", "a", 300 + i, text + " again") for i, (*_, text) in enumerate(rows[:50])]
+    frame = spark.createDataFrame(rows, "arrival bigint, feed string, topic string, post_id bigint, text string")
+    assert sorted(r.arrival for r in merge.merge_near_duplicates(frame, 0.5).select("arrival").collect()) == list(range(300))
+    assert not joined and sum(e.count() for e in edges) == 50
