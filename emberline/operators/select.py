@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from emberline.operators.filters import filter_burst
 from emberline.operators.novelty import max_similarity, token_sets
-from emberline.operators.overlap import comparable
-from emberline.operators.sizing import broadcast_if_small
+from emberline.operators.overlap import best_similarity, comparable
+from emberline.operators.sizing import at_most, broadcast_if_small
 from emberline.sources.scratch import stage
 
+FEW = 20_000  # posts whose similarities are all worked out at once
+HEADS = 512  # earliest sets of a scope that give first bounds
+
 
 def top_per_group(df: DataFrame, keys, order, k: int) -> DataFrame:
     """The first ``k`` rows of each group."""
@@ -75,7 +78,8 @@ def select_posts(
     chosen themselves.  Posts whose similarity exceeds ``threshold`` are out.  Of the rest
     ``similar_first`` takes the most similar and ``novel_first`` the least similar ones.
 
-    Only candidates are asked for their similarity, history rows never are.
+    Only candidates are asked for their similarity, history rows never are.  Of many candidates only those get their exact
+    similarity that can be among the ``k``.
     """
     columns = [*scope, "id", "pos", "tokens"]
     compared = candidates.select(*columns)
@@ -83,10 +87,56 @@ def select_posts(
         compared = compared.unionByName(history.select(*columns))
     sets = comparable(stage(token_sets(compared, scope), "sets"))
     posts = candidates.select("id", "created_at", *group).join(sets.select("id"), "id", "left_semi")
-    best = max_similarity(posts, sets, 0.0, scope)
-    left = posts.join(best, "id", "left").fillna(0.0, ["sim"]).filter(F.col("sim") <= threshold)
-    direction = F.desc("sim") if order == "similar_first" else F.asc("sim")
-    return top_per_group(left, group, [direction, F.col("created_at"), F.col("id")], k).select("id", *group)
+    if at_most(posts, FEW):
+        left = _with_best(posts, sets, scope).filter(F.col("sim") <= threshold)
+    elif order == "similar_first":
+        left = _most_similar(posts, sets, threshold, k, scope, group)
+    else:
+        left = _least_similar(posts, sets, threshold, k, scope, group)
+    return top_per_group(left, group, _by_similarity(order), k).select("id", *group)
+
+
+def _by_similarity(order: str) -> list:
+    return [F.desc("sim") if order == "similar_first" else F.asc("sim"), F.col("created_at"), F.col("id")]
+
+
+def _with_best(posts: DataFrame, sets: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    return posts.join(max_similarity(posts, sets, 0.0, scope), "id", "left").fillna(0.0, ["sim"])
+
+
+def _most_similar(posts: DataFrame, sets: DataFrame, threshold: float, k: int, scope: tuple[str, ...], group: tuple[str, ...]) -> DataFrame:
+    """Posts up to ``threshold`` with their similarity, among them each group's ``k`` most similar ones.
+
+    The floor is lowered until each group has ``k`` posts above it or is whole: higher floors rule out far more pairs.
+    """
+    asked, known = stage(posts, "asked"), None
+    for floor in (threshold * 2 / 3, threshold / 3):
+        best = stage(max_similarity(asked, sets, floor, scope), "best")
+        found = asked.join(best, "id").filter(F.col("sim") <= threshold)
+        known = stage(found if known is None else known.unionByName(found), "known")
+        full = known.groupBy(*group).agg(F.count("*").alias("__n")).filter(F.col("__n") >= k)
+        asked = stage(asked.join(best, "id", "left_anti").join(full, list(group), "left_anti"), "asked")
+        if at_most(asked, 0):
+            return known
+    return known.unionByName(_with_best(asked, sets, scope).filter(F.col("sim") <= threshold).select(known.columns))
+
+
+def _least_similar(posts: DataFrame, sets: DataFrame, threshold: float, k: int, scope: tuple[str, ...], group: tuple[str, ...]) -> DataFrame:
+    """Posts up to ``threshold`` with their similarity, among them each group's ``k`` least similar ones.
+
+    The earliest sets of a scope give every post a lower bound.  Some posts with low bounds are compared with all; their ``k``-th
+    similarity is the most that any post of the group may have, and only posts whose bound isn't beyond it are compared too.
+    """
+    heads = stage(top_per_group(sets, scope, [F.col("rank")], HEADS) if scope else sets.orderBy("rank").limit(HEADS), "heads")
+    bounds = sets.select("id", "node").join(best_similarity(sets, heads, 0.0, scope), "node").groupBy("id").agg(F.max("sim").alias("__low"))
+    low = posts.join(bounds, "id", "left").fillna(0.0, ["__low"]).filter(F.col("__low") <= threshold)
+    low = stage(low, "bounds")
+    first = stage(top_per_group(low, group, [F.col("__low"), F.col("created_at"), F.col("id")], 4 * k), "first")
+    exact = stage(_with_best(first, sets, scope).filter(F.col("sim") <= threshold), "exact")
+    cuts = top_per_group(exact, group, _by_similarity("novel_first"), k).groupBy(*group).agg(F.max("sim").alias("__cut"), F.count("*").alias("__n"))
+    rest = low.join(first.select("id").distinct(), "id", "left_anti").join(cuts.filter(F.col("__n") >= k).drop("__n"), list(group), "left")
+    rest = stage(rest.filter(F.col("__cut").isNull() | (F.col("__low") <= F.col("__cut"))).drop("__cut"), "rest")
+    return exact.unionByName(_with_best(rest, sets, scope).filter(F.col("sim") <= threshold))
 
 
 def with_similarity(compared: DataFrame, chosen: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
