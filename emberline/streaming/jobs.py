@@ -165,7 +165,8 @@ def select_closed(
 ) -> DataFrame:
     """``choose_closed`` among the candidates of one closed window."""
     found = closed_candidates(posts, terms.filter(F.col("win") == win), conf)
-    return choose_closed(stage(found, "closed-candidates"), delivered, conf)
+    found = broadcast_if_small(stage(found, "closed-candidates"))  # delivered posts stay where they are, a topic's don't meet
+    return choose_closed(found, delivered, conf)
 
 
 def count_step(conf: BurstConf, folder: str, late_slots: int = 0, topics: int = 1):

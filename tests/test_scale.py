@@ -84,3 +84,17 @@ def test_near_duplicates_make_no_row_per_meeting(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "arrival bigint, feed string, topic string, post_id bigint, text string")
     assert sorted(r.arrival for r in merge.merge_near_duplicates(frame, 0.5).select("arrival").collect()) == list(range(300))
     assert not joined and sum(e.count() for e in edges) == 50
+
+
+def test_a_closed_window_counts_its_own_slots_only(spark, tmp_path, monkeypatch):
+    from emberline.plans import queries as Q
+
+    words = [f"from thre word{i % 3} other{i % 5} more{i % 7}" for i in range(40)]
+    spark.createDataFrame([(i, text, "en", "s") for i, text in enumerate(words)], "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    events = spark.range(40).select(F.col("id").alias("event_id"), (F.col("id") % 9).alias("user_id"), F.timestamp_seconds(F.col("id") * 6 * 3600).alias("ts"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    counted, known = [], C.term_counts
+    monkeypatch.setattr(Q.C, "term_counts", lambda df, **k: counted.append(df) or known(df, **k))
+    rows, terms, win = Q.window_terms(spark, str(tmp_path))
+    assert win == 18 and rows.count() >= 40 and terms.filter("win <> 18").isEmpty()
+    assert sorted(r.slot for r in counted[0].select("slot").distinct().collect()) == [16, 17, 18]  # all twenty before
